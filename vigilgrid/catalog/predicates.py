@@ -6,9 +6,6 @@ from vigilgrid.catalog.registry import query
 from vigilgrid.functions import geometry as G
 from vigilgrid.operators import filters as P
 from vigilgrid.operators.ordered import forward_fill
-from vigilgrid.plans.reports import camera_health
-from vigilgrid.operators import rollups as R
-from vigilgrid.sources.standin import AS_OF
 
 CARRIED = ("array_compact(array(CASE WHEN k % 2 = 0 THEN 'backpack' END, CASE WHEN k % 3 = 0 THEN 'umbrella' END, "
            "CASE WHEN k % 5 = 0 THEN 'hat' END))")
@@ -87,8 +84,8 @@ def vector_filter_no_cameras(t):
     return rows.where(P.vector_filter("objects", [])).select("det_id")
 
 
-@query("P11", "documents", """SELECT doc_id FROM documents WHERE NOT (lang = 'en' OR contains(lower(text), 'en') OR lang = 'src3' OR contains(lower(text), 'src3')
- OR source = 'src3')""", name="without_words")
+@query("P11", "", """SELECT doc_id FROM documents WHERE NOT (lang = 'en' OR contains(lower(text), 'en') OR lang = 'src3' OR contains(lower(text), 'src3')
+ OR source = 'src3')""")
 def without_words(t):
     d = t.raw("documents").withColumn("classes", F.array("lang", "source"))
     return d.where(P.not_about(F.col("classes"), F.col("text"), ["EN", "src3"])).select("doc_id")
@@ -129,10 +126,9 @@ def restored_boxes(t):
     return t.boxes.select("det_id", b.alias("b")).select("det_id", *[F.round(f"b.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("P15", "alerts", "SELECT id, CASE WHEN k = 0 THEN 'person' WHEN k = 2 THEN 'car' WHEN k = 63 THEN 'potted plant' "
-       "WHEN k > 63 THEN 'object' END AS label FROM alerts WHERE k IN (0, 2, 63) OR k > 63")
+@query("P15", "alerts", f"SELECT id, coalesce({list(P.TAXONOMY)}[k + 1], 'object') AS label FROM alerts")
 def taxonomy_labels(t):
-    return t.alerts.where(F.col("k").isin(0, 2, 63) | (F.col("k") > 63)).select("id", P.taxonomy_label(F.col("k")).alias("label"))
+    return t.alerts.select("id", P.taxonomy_label(F.col("k")).alias("label"))
 
 
 @query("P15", "alerts", "SELECT id, ['person','bicycle','car','motorcycle',NULL,'bus',NULL,'truck'][k + 1] AS label FROM alerts WHERE k IN (0,1,2,3,5,7)")
