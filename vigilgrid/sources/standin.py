@@ -33,7 +33,7 @@ K = ("CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(
 _view("alerts", "events", [
     ("id", "event_id", ""), ("org_id", "user_id % 5", ""), ("camera_id", "user_id % 10", ""),
     ("user_id", "user_id", ""), ("event_type", "event_type", ""), ("severity", SEVERITY, ""),
-    ("start_time", "ts", ""), ("start_ms", "unix_millis(CAST(ts AS TIMESTAMP))", "epoch_ms(ts)"),
+    ("start_time", "ts", ""), ("start_ms", "unix_millis(CAST(ts AS TIMESTAMP))", "CAST(epoch_us(ts) // 1000 AS BIGINT)"),
     ("value", "value", ""), ("k", *K), ("metadata", "props", "")])
 
 _view("cameras", "supplier", [
@@ -54,10 +54,13 @@ _view("segments", "orders", [
     ("start_time", "o_orderdate", ""), ("month", "date_format(o_orderdate, 'yyyy-MM')", "strftime(o_orderdate, '%Y-%m')"),
     ("size_bytes", "o_totalprice", ""), ("processing_status", "o_orderstatus", "")])
 
-DET_ID = "(l_orderkey * 100000000 + l_partkey) * 10 + l_linenumber"
+# No short key is unique in lineitem, so ids are 60 bits of a content hash.
+_DET_TEXT = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT))"
+DET_ID = (f"CAST(conv(substring(md5({_DET_TEXT}), 1, 15), 16, 10) AS BIGINT)",
+          f"CAST('0x' || substring(md5({_DET_TEXT}), 1, 15) AS BIGINT)")
 CLASS = "CASE l_returnflag WHEN 'A' THEN 'person' WHEN 'N' THEN 'car' ELSE 'truck' END"
 _view("detections", "lineitem", [
-    ("det_id", DET_ID, ""), ("org_id", "l_suppkey % 5", ""), ("segment_id", "l_orderkey", ""),
+    ("det_id", *DET_ID), ("org_id", "l_suppkey % 5", ""), ("segment_id", "l_orderkey", ""),
     ("segment_start", "l_shipdate", ""), ("frame_number", "l_linenumber", ""),
     ("timestamp_ms", "CAST(l_linenumber * 1000 + l_quantity * 10 AS BIGINT)", ""),
     ("class_label", CLASS, ""), ("confidence", "round((l_extendedprice % 100) / 100, 4)", ""),
@@ -73,7 +76,7 @@ _view("detections", "lineitem", [
     ("created_at", "l_shipdate", "")])
 
 _view("boxes", "lineitem", [
-    ("det_id", DET_ID, ""), ("camera_id", "l_suppkey % 10", ""), ("frame_id", "l_orderkey", ""),
+    ("det_id", *DET_ID), ("camera_id", "l_suppkey % 10", ""), ("frame_id", "l_orderkey", ""),
     ("class_label", CLASS, ""), ("score", "round((l_extendedprice % 100) / 100, 4)", ""),
     ("x1", "l_quantity * 10", ""), ("y1", "l_discount * 1000", ""),
     ("x2", "l_quantity * 10 + 80 + 10 * l_linenumber", ""), ("y2", "l_discount * 1000 + 60 + 1000 * l_tax", "")])
@@ -81,7 +84,7 @@ _view("boxes", "lineitem", [
 _view("points", "events", [
     ("point_id", "event_id", ""), ("camera_id", "user_id % 10", ""), ("track_id", "user_id", ""),
     ("class_id", _pick("CAST(user_id % 5 AS INT)", ["0", "0", "0", "26", "2"]), ""),
-    ("ts_ms", "unix_millis(CAST(ts AS TIMESTAMP))", "epoch_ms(ts)"), ("x", "value", ""),
+    ("ts_ms", "unix_millis(CAST(ts AS TIMESTAMP))", "CAST(epoch_us(ts) // 1000 AS BIGINT)"), ("x", "value", ""),
     ("y", f"CAST({K[0]} AS DOUBLE)", f"CAST({K[1]} AS DOUBLE)")])
 
 QUERY_TEMPLATES = [
