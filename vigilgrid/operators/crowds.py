@@ -33,7 +33,13 @@ def cluster_stats(members: DataFrame, keys: Sequence[str], id_col: str, x: str,
     return members.groupBy(*keys, "component").agg(
         F.count(F.lit(1)).alias("people_count"), F.avg(x).alias("centroid_x"), F.avg(y).alias("centroid_y"),
         F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"),
-        F.array_sort(F.collect_list(id_col)).alias("track_ids"))
+        F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
+
+
+def member_lists(members: DataFrame, groups: DataFrame, on: Sequence[str], id_col: str) -> DataFrame:
+    """Member ids of the few ``groups`` worth an alert; one frame's people at most per list."""
+    kept = members.join(groups.select(*on), list(on), "left_semi")
+    return kept.groupBy(*on).agg(F.array_sort(F.collect_list(id_col)).alias("track_ids"))
 
 
 def density_peak(members: DataFrame, keys: Sequence[str], x: str, y: str, frame_w: int, frame_h: int) -> DataFrame:

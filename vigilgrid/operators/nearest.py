@@ -24,12 +24,13 @@ BLOCKS_PER_SALT = 64
 
 def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[str] = (),
             probe_id: str = "probe_id", candidate_id: str = "candidate_id",
-            vector: str = "embedding", threshold: float | None = None,
+            vector: str = "embedding", threshold: float | None = None, earlier_only: bool = False,
             probe_rows: int = PROBE_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """Top ``k`` candidates by cosine per probe: ``probe_id, candidate_id, similarity, rank``.
 
     Ids are longs, unique per side. Ties go to the smaller candidate id. With ``threshold`` only
     similarities at or above it count. ``groups`` are columns both sides must agree on.
+    ``earlier_only`` admits only candidates whose id is below the probe's.
     """
     groups = list(groups)
     left = _blocks(probes, groups, probe_id, vector, "p", probe_rows)
@@ -61,6 +62,8 @@ def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[s
                 scores = pv.reshape(len(pid), -1) @ cv.reshape(len(cid), -1).T
                 by_id = np.argsort(cid, kind="stable")
                 cid, scores = cid[by_id], scores[:, by_id]
+                if earlier_only:
+                    scores = np.where(cid[None, :] < pid[:, None], scores, -np.inf)
                 if k < scores.shape[1]:
                     kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
                     picked = [np.flatnonzero(s >= t) for s, t in zip(scores, kth)]
@@ -68,7 +71,7 @@ def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[s
                     picked = [np.arange(scores.shape[1])] * len(pid)
                 for i, js in enumerate(picked):
                     js = js[np.argsort(-scores[i, js], kind="stable")][:k]
-                    js = js[scores[i, js] >= floor]
+                    js = js[(scores[i, js] >= floor) & (scores[i, js] > -np.inf)]
                     out[0].append(np.full(len(js), pid[i], dtype=np.int64))
                     out[1].append(cid[js].astype(np.int64))
                     out[2].append(scores[i, js])
@@ -97,26 +100,26 @@ def _blocks(df: DataFrame, groups: list[str], id_col: str, vector: str, side: st
                          F.flatten("_rows._v").alias(f"{side}_vecs"))
 
 
-def nearest_approximate(probes: DataFrame, candidates: DataFrame, k: int, radius: float,
+def nearest_approximate(probes: DataFrame, candidates: DataFrame, k: int, cells: int = 256, visit: int = 16,
                         probe_id: str = "probe_id", candidate_id: str = "candidate_id",
-                        vector: str = "embedding", bucket_length: float = 0.6, tables: int = 12,
-                        seed: int = 42) -> DataFrame:
-    """Approximate top ``k`` within cosine distance ``radius`` by random-projection hashing.
+                        vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """Approximate top ``k``: each probe looks only into the ``visit`` cells nearest to it.
 
-    On unit vectors squared Euclidean distance is 2 - 2 cos; survivors are scored exactly.
+    Cells come from k-means over the candidates; inside them scoring is exact and blocked like
+    ``nearest``, so a crowded cell is split and nothing is dropped from it.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    def side(df, id_col):
-        unit = df.select(F.col(id_col), V.normalise(F.col(vector)).alias("_v")).where(F.col("_v").isNotNull())
-        return unit.withColumn("features", array_to_vector("_v"))
-
-    a, b = side(probes, probe_id), side(candidates, candidate_id)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
-                                      bucketLength=bucket_length, numHashTables=tables)
-    pairs = lsh.fit(b).approxSimilarityJoin(a, b, (2.0 * radius) ** 0.5, "_d").select(
-        F.col(f"datasetA.{probe_id}").alias(probe_id), F.col(f"datasetB.{candidate_id}").alias(candidate_id),
-        (F.lit(1.0) - F.col("_d") * F.col("_d") / 2.0).alias("similarity"))
-    order = Window.partitionBy(probe_id).orderBy(F.desc("similarity"), candidate_id)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    unit = candidates.select(F.col(candidate_id), V.normalise(F.col(vector)).alias(vector)).where(
+        F.col(vector).isNotNull())
+    with_features = unit.withColumn("features", array_to_vector(vector)).persist()
+    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="_cell").fit(with_features)
+    with_features.unpersist()
+    placed = model.transform(with_features).select(candidate_id, vector, F.col("_cell").cast("long").alias("_cell"))
+    spark = candidates.sparkSession
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+                                    f"_cell long, {vector} array<double>")
+    visits = nearest(probes, centres, visit, (), probe_id, "_cell", vector).select(probe_id, "_cell")
+    spread = probes.select(probe_id, vector).join(visits, probe_id)
+    return nearest(spread, placed, k, ["_cell"], probe_id, candidate_id, vector)
