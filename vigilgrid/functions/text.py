@@ -156,6 +156,6 @@ def drop_keys(words: list[str]):
 
     @F.pandas_udf(T.StringType())
     def run(payload: pd.Series) -> pd.Series:
-        return payload.map(lambda t: None if t is None else json.dumps(clean(json.loads(t))))
+        return pd.Series([json.dumps(clean(json.loads(t))) if isinstance(t, str) else None for t in payload], dtype=object)
 
     return run
