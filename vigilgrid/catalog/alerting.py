@@ -155,11 +155,14 @@ def rate_limits(t):
     return rate_windows(t.alerts, ["user_id"], "start_ms", 3, DAY, 5 * DAY)
 
 
-@query("T14", "alerts", "SELECT user_id, ts AS locked_ms FROM r WHERE locks", f"""o AS (SELECT user_id, start_ms AS ts, row_number() OVER (PARTITION BY user_id ORDER BY start_ms) AS i FROM alerts),
+LOCKS = f"""o AS (SELECT user_id, start_ms AS ts, row_number() OVER (PARTITION BY user_id ORDER BY start_ms) AS i FROM alerts),
  r AS (SELECT user_id, i, ts, ts AS win, 1 AS n, CAST(0 AS BIGINT) AS until, false AS locks FROM o WHERE i = 1 UNION ALL
  SELECT o.user_id, o.i, o.ts, CASE WHEN ign THEN r.win WHEN fresh THEN o.ts ELSE r.win END, CASE WHEN ign THEN r.n WHEN fresh THEN 1 WHEN r.n + 1 >= 5 THEN 0 ELSE r.n + 1 END,
   CASE WHEN NOT ign AND NOT fresh AND r.n + 1 >= 5 THEN o.ts + {2 * DAY} ELSE r.until END, NOT ign AND NOT fresh AND r.n + 1 >= 5
- FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1, LATERAL (SELECT o.ts < r.until AS ign, r.n = 0 OR o.ts - r.win >= {3 * DAY} AS fresh))""")
+ FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1, LATERAL (SELECT o.ts < r.until AS ign, r.n = 0 OR o.ts - r.win >= {3 * DAY} AS fresh))"""
+
+
+@query("T14", "alerts", "SELECT user_id, ts AS locked_ms FROM r WHERE locks", LOCKS)
 def lockouts(t):
     from vigilgrid.plans.ingest import lockouts as find
     return find(t.alerts, ["user_id"], "start_ms", 5, 3 * DAY, 2 * DAY, 6 * DAY).select("user_id", "locked_ms")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vigilgrid.catalog.alerting import ABANDON, DAY, FR, HOUR, KEPT, LOITER, STEP, ZONES, suppressed_sql
+from vigilgrid.catalog.alerting import ABANDON, DAY, FR, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
 from vigilgrid.catalog.shapes import SKETCH
@@ -106,9 +106,10 @@ def live_abandoned(t):
 @query("T5 T7")
 def live_crowds(t):
     out = scratch_path(t.spark, "crowds")
-    rows = _points(t).select("camera_id", "track_id", "class_id", (F.floor(F.col("ts_ms") / (6 * HOUR)) * (6 * HOUR)).cast("long").alias("ts_ms"),
+    rows = _points(t).withColumn("moment", F.floor(F.col("ts_ms") / (6 * HOUR))).withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(
+        ["camera_id", "track_id", "moment"]).select("camera_id", "track_id", "class_id", (F.floor(F.col("ts_ms") / (6 * HOUR)) * (6 * HOUR)).cast("long").alias("ts_ms"),
                              (F.col("cx") - 20).alias("x1"), (F.col("cy") - 20).alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
-    T.per_batch_alerts(rows.dropDuplicates(["camera_id", "track_id", "ts_ms"]), "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    T.per_batch_alerts(rows, "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}/data").drop("batch")
 
 
@@ -163,7 +164,7 @@ def live_rate_limit(t):
     return _drained(t, T.rate_limit(_events(t).select("user_id", "ts", "ts_ms"), 3, DAY))
 
 
-@query("T14")
+@query("T14", "alerts", "SELECT user_id, ts AS locked_ms FROM r WHERE locks", LOCKS)
 def live_lockouts(t):
     return _drained(t, T.lockouts(_events(t).select("user_id", "ts", "ts_ms"), 5, 3 * DAY, 2 * DAY))
 

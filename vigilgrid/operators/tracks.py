@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilgrid.functions import geometry as G, vectors as V
 from vigilgrid.operators import ordered
+from vigilgrid.operators.graph import connected_components
 from vigilgrid.operators.ordered import back, forward_fill, with_history
 from vigilgrid.operators.spatial import overlap_pairs, overlapping_boxes
 from vigilgrid.session import cut_lineage
@@ -209,3 +210,31 @@ def stationary(path: Column, max_std: float = 4.0, rows: int = 10, at_least: int
         return F.sqrt(F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
 
     return (F.size(path) >= at_least) & (deviation("x") < max_std) & (deviation("y") < max_std)
+
+
+def build_tracks(boxes: DataFrame, camera: str, frame: str, id_col: str, box: str, ts_ms: str,
+                 max_cost: float = 0.8, max_lost_ms: int = 30_000) -> DataFrame:
+    """Track of every box: ``id_col, track_id``; a track is named by its smallest box id.
+
+    Boxes of consecutive frames are linked into runs. The end of a run is then linked to the start
+    of a later one of the same camera when their boxes overlap enough within ``max_lost_ms``, which
+    bridges occlusions. Both links are mutual best matches.
+    """
+    links = associate_by_overlap(boxes, camera, frame, id_col, box, max_cost).select(
+        F.col("prev_id").alias("a"), F.col("id").alias("b"))
+    runs = connected_components(boxes.select(F.col(id_col).alias("node")), links)
+    placed = boxes.join(runs.withColumnRenamed("node", id_col), id_col)
+    ends = placed.groupBy(camera, "component").agg(
+        F.min_by(F.struct(box, ts_ms), ts_ms).alias("s"), F.max_by(F.struct(box, ts_ms), ts_ms).alias("e"))
+    last = ends.select(camera, F.col("component").alias("a"), F.col(f"e.{box}").alias("_a"), F.col(f"e.{ts_ms}").alias("_ta"))
+    first = ends.select(camera, F.col("component").alias("b"), F.col(f"s.{box}").alias("_b"), F.col(f"s.{ts_ms}").alias("_tb"))
+    slot = F.floor(F.col("_ta") / max_lost_ms)
+    last = last.withColumn("_slot", F.explode(F.sequence(slot, slot + 1)))
+    first = first.withColumn("_slot", F.floor(F.col("_tb") / max_lost_ms))
+    gap = F.col("_tb") - F.col("_ta")
+    bridges = (overlapping_boxes(last, first, [camera, "_slot"], "_a", "_b")
+               .withColumn("iou", G.iou(F.col("_a"), F.col("_b")))
+               .where((gap > 0) & (gap <= max_lost_ms) & (1.0 - F.col("iou") <= max_cost)))
+    joined = connected_components(ends.select(F.col("component").alias("node")), mutual_best(bridges, "a", "b", "iou").select("a", "b"))
+    names = joined.select(F.col("node").alias("component"), F.col("component").alias("track_id"))
+    return placed.join(names, "component").select(id_col, "track_id")
