@@ -12,22 +12,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round lowers every label to its smallest neighbour's and then to that label's own label,
     which halves chains, so rounds grow with the logarithm of the longest path. Rounds are
-    checkpointed and stop when nothing changes; there is no cap.
+    checkpointed and stop when nothing changes; there is no cap. Nodes are taken as distinct.
     """
     both = cut_lineage(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         .where(F.col("a") != F.col("b")).distinct())
-    labels = cut_lineage(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    # Only linked nodes take part in the rounds; the others are their own component.
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
+        "node", F.least("node", "_m").alias("component")))
     while True:
         lowest = (both.join(labels.withColumnRenamed("node", "a"), "a")
                   .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near")))
-        pulled = labels.join(lowest, "node", "left").select(
-            "node", F.col("component").alias("was"),
-            F.least("component", F.coalesce("near", "component")).alias("component"))
+        pulled = labels.join(lowest, "node").select(
+            "node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         hop = pulled.select(F.col("node").alias("component"), F.col("component").alias("onward"))
         stepped = cut_lineage(pulled.join(hop, "component", "left").select(
             "node", "was", F.least("component", F.coalesce("onward", "component")).alias("component")))
         moved = not stepped.where(F.col("component") < F.col("was")).isEmpty()
         labels = stepped.select("node", "component")
         if not moved:
-            return labels
+            break
+    return nodes.select("node").join(labels, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))

@@ -16,6 +16,7 @@ from vigilgrid.functions.text import drop_keys
 from vigilgrid.operators import crowds, spatial as S, tracks as T
 from vigilgrid.operators.greedy import chain_anchors, fixed_gap
 from vigilgrid.operators.ordered import islands, time_chunk
+from vigilgrid.session import cut_lineage
 
 PERSON = 0
 # Bag classes with their names, words that mark private metadata, dwell limits in seconds.
@@ -37,8 +38,9 @@ def suppress(candidates: DataFrame, window_ms: int = WINDOW_MS, tie: list[str] =
     one let through. Candidates of the same moment count in the order of ``tie``."""
     c = candidates.withColumn("zone_id", F.coalesce("zone_id", F.lit("")))
     others = [n for n in c.columns if n not in KEYS and n != "ts_ms"]
-    first = c.groupBy(*KEYS, "ts_ms").agg(F.min_by(F.struct(*others), F.struct(*tie)).alias("_c"))
-    anchors = chain_anchors(c, KEYS, "ts_ms", fixed_gap(window_ms), window_ms + 1, chunk_ms=max(chunk_ms, window_ms + 1))
+    # The candidates come out of joins and windows; one written copy spares computing them again.
+    first = cut_lineage(c.groupBy(*KEYS, "ts_ms").agg(F.min_by(F.struct(*others), F.struct(*tie)).alias("_c")))
+    anchors = chain_anchors(first, KEYS, "ts_ms", fixed_gap(window_ms), window_ms + 1, chunk_ms=max(chunk_ms, window_ms + 1))
     kept = first.join(anchors.drop("label"), KEYS + ["ts_ms"], "left_semi")
     return kept.select(*KEYS, "ts_ms", *[f"_c.{n}" for n in others]).withColumn("zone_id", F.nullif("zone_id", F.lit("")))
 
