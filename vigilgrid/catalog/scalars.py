@@ -35,12 +35,12 @@ def normalised_classes(t):
     return words.withColumn("class_label", Q.normal_class(F.col("word"))).where(F.col("class_label").isNotNull())
 
 
-@query("F4", "", "SELECT doc_id, sha256(text) AS content_key, 'nlu:intent:' || substring(sha256(trim(lower(text))), 1, 16) AS intent_key FROM documents")
+@query("F4", "", "SELECT doc_id, sha256(text) AS content_key, 'intent:' || substring(sha256(trim(lower(text))), 1, 16) AS intent_key FROM documents")
 def content_keys(t):
     return t.raw("documents").select("doc_id", X.content_key(F.col("text")).alias("content_key"), X.intent_key(F.col("text")).alias("intent_key"))
 
 
-@query("F4", "searches", """SELECT query_id, 'vq:search:' || md5('q:' || lower(trim(query_text)) || '|f:{"user": ' || user_id || '}|c:' || array_to_string(list_sort(['cam_' || (user_id % 3), 'cam_1']), ',')
+@query("F4", "searches", """SELECT query_id, 'search:' || md5('q:' || lower(trim(query_text)) || '|f:{"user": ' || user_id || '}|c:' || array_to_string(list_sort(['cam_' || (user_id % 3), 'cam_1']), ',')
  || '|l:10|cur:' || CASE WHEN results_count = 0 THEN 'MTA=' ELSE '' END) AS cache_key FROM searches""")
 def search_keys(t):
     cams = F.array(F.concat(F.lit("cam_"), F.col("user_id") % 3), F.lit("cam_1"))

@@ -40,7 +40,7 @@ def content_key(text: Column) -> Column:
 
 def intent_key(query: Column) -> Column:
     """Cache key of a parsed query: prefix and 16 hex digits of the normalised text's hash."""
-    return F.concat(F.lit("nlu:intent:"), F.substring(F.sha2(F.trim(F.lower(query)), 256), 1, 16))
+    return F.concat(F.lit("intent:"), F.substring(F.sha2(F.trim(F.lower(query)), 256), 1, 16))
 
 
 def search_key(query: Column, filters: Column, cameras: Column, limit: Column, cursor: Column) -> Column:
@@ -48,7 +48,7 @@ def search_key(query: Column, filters: Column, cameras: Column, limit: Column, c
     parts = F.concat(F.lit("q:"), F.lower(F.trim(query)), F.lit("|f:"), filters, F.lit("|c:"),
                      F.array_join(F.array_sort(cameras), ","), F.lit("|l:"), limit.cast("string"),
                      F.lit("|cur:"), F.coalesce(cursor, F.lit("")))
-    return F.concat(F.lit("vq:search:"), F.md5(parts))
+    return F.concat(F.lit("search:"), F.md5(parts))
 
 
 def cursor_of(offset: Column) -> Column:
