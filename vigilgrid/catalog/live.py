@@ -154,7 +154,9 @@ def live_segments(t):
  FROM r JOIN o ON o.lang = r.lang AND o.i = r.i + 1, LATERAL (SELECT len(list_filter(r.kept[-60:], lambda k: bit_count(xor(k, o.h)) <= 4)) = 0 AS f))""")
 def live_distinct_frames(t):
     docs = S.file_stream(t.spark, t.sf_dir, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    rows = docs.select(F.col("lang").alias("camera_id"), (F.col("doc_id") * 1000).alias("ts_ms"), F.timestamp_millis(F.col("doc_id") * 1000).alias("ts"), F.expr(SKETCH).alias("sketch"))
+    # A stream's first watermark is the epoch itself, so frame times start well after it.
+    ms = F.col("doc_id") * 1000 + 1_600_000_000_000
+    rows = docs.select(F.col("lang").alias("camera_id"), ms.alias("ts_ms"), F.timestamp_millis(ms).alias("ts"), F.expr(SKETCH).alias("sketch"))
     return _drained(t, T.distinct_frames(rows, 4, 60)).select(F.col("camera_id").alias("lang"), "sketch")
 
 
