@@ -46,7 +46,13 @@ def query(ids: str, views: str = "", sql: str | None = None, ctes: str = "", nam
         key = name or fn.__name__
         if key in ENTRIES:
             raise ValueError(f"query {key} registered twice")
-        ENTRIES[key] = Entry(lambda spark, sf_dir: fn(Inputs(spark, sf_dir)), text, tuple(ids.split()))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Times in the driver's tables carry no zone and are read as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Inputs(spark, sf_dir))
+
+        ENTRIES[key] = Entry(run, text, tuple(ids.split()))
         return fn
 
     return wrap

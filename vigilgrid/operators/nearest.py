@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigilgrid.functions import vectors as V
+from vigilgrid.session import cut_lineage
 
 PROBE_ROWS = 1024
 CANDIDATE_ROWS = 4096
 BLOCKS_PER_SALT = 64
+MAX_GROUPS = 100_000
 
 
 def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[str] = (),
@@ -32,24 +34,18 @@ def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[s
     similarities at or above it count. ``groups`` are columns both sides must agree on.
     ``earlier_only`` admits only candidates whose id is below the probe's.
     """
-    groups = list(groups)
-    left = _blocks(probes, groups, probe_id, vector, "p", probe_rows)
-    right = _blocks(candidates, groups, candidate_id, vector, "c", candidate_rows)
-    n_blocks = left.groupBy(*groups).agg(F.count(F.lit(1)).alias("_np")) if groups else left.agg(
-        F.count(F.lit(1)).alias("_np"))
-    salts = n_blocks.withColumn("_salts", F.ceil(F.col("_np") / BLOCKS_PER_SALT).cast("long")).drop("_np")
-    meet = groups + ["_cblock", "_salt"]
-    tags = right.select(*groups, F.col("_block").alias("_cblock"))
-    join_all = groups or ["_one"]
-    if not groups:
-        left, right, tags, salts = (d.withColumn("_one", F.lit(1)) for d in (left, right, tags, salts))
-        meet = ["_one"] + meet
-    probe_side = (left.join(salts, join_all).withColumn("_salt", F.pmod(F.xxhash64("_block"), F.col("_salts")))
-                  .drop("_salts", "_block").join(tags, join_all))
-    candidate_side = (right.withColumnRenamed("_block", "_cblock").join(salts, join_all)
-                      .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
-                      .drop("_salts"))
-    met = probe_side.join(candidate_side, meet).select("p_ids", "p_vecs", "c_ids", "c_vecs")
+    on = list(groups) or ["_one"]
+    left_rows, right_rows = (_unit(d, groups, i, vector) for d, i in ((probes, probe_id), (candidates, candidate_id)))
+    left_size, right_size = _sizes(left_rows, on, "_pb", probe_rows), _sizes(right_rows, on, "_cb", candidate_rows)
+    salts = F.ceil(F.col("_pb") / BLOCKS_PER_SALT).cast("long")
+    left = _blocks(left_rows, left_size, on, "_pb", "p")
+    probe_side = (left.join(right_size, on).withColumn("_salt", F.pmod(F.xxhash64("_block"), salts))
+                  .withColumn("_cblock", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cb") - 1))))
+    candidate_side = (_blocks(right_rows, right_size, on, "_cb", "c").withColumnRenamed("_block", "_cblock").join(left_size, on)
+                      .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))))
+    met = probe_side.select(*on, "_cblock", "_salt", "p_ids", "p_vecs").join(
+        candidate_side.select(*on, "_cblock", "_salt", "c_ids", "c_vecs"), on + ["_cblock", "_salt"]).select(
+        "p_ids", "p_vecs", "c_ids", "c_vecs")
     floor = -np.inf if threshold is None else threshold
 
     def multiply(batches):
@@ -85,19 +81,24 @@ def nearest(probes: DataFrame, candidates: DataFrame, k: int, groups: Sequence[s
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(df: DataFrame, groups: list[str], id_col: str, vector: str, side: str, rows: int) -> DataFrame:
-    """Pack unit vectors into blocks of about ``rows``: ``groups, _block, <side>_ids, <side>_vecs``."""
-    unit = df.select(*groups, F.col(id_col).alias("_id"), V.normalise(F.col(vector)).alias("_v")).where(
-        F.col("_v").isNotNull())
-    sizes = (unit.groupBy(*groups) if groups else unit.groupBy(F.lit(1).alias("_one"))).agg(
-        F.ceil(F.count(F.lit(1)) / rows).cast("long").alias("_nb"))
-    on = groups or ["_one"]
-    if not groups:
-        unit = unit.withColumn("_one", F.lit(1))
-    spread = unit.join(sizes, on).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_nb")))
-    packed = spread.groupBy(*on, "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_rows"))
-    return packed.select(*groups, "_block", F.col("_rows._id").alias(f"{side}_ids"),
-                         F.flatten("_rows._v").alias(f"{side}_vecs"))
+def _unit(df: DataFrame, groups: Sequence[str], id_col: str, vector: str) -> DataFrame:
+    rows = df.select(*groups, F.col(id_col).alias("_id"), V.normalise(F.col(vector)).alias("_v")).where(F.col("_v").isNotNull())
+    return rows if groups else rows.withColumn("_one", F.lit(1))
+
+
+def _sizes(rows: DataFrame, on: list[str], name: str, block_rows: int) -> DataFrame:
+    """Number of blocks per group. One row per group: broadcast once counted to be few, so that a
+    hot group's vectors are never shuffled by group alone; left to Spark otherwise."""
+    sizes = cut_lineage(rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias(name)))
+    return F.broadcast(sizes) if sizes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else sizes
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, on: list[str], name: str, side: str) -> DataFrame:
+    """Pack unit vectors into blocks: ``on, _block, <side>_ids, <side>_vecs`` and the block count."""
+    spread = rows.join(sizes, on).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col(name)))
+    packed = spread.groupBy(*on, "_block", name).agg(F.collect_list(F.struct("_id", "_v")).alias("_rows"))
+    keep = [name] if side == "p" else []
+    return packed.select(*on, "_block", *keep, F.col("_rows._id").alias(f"{side}_ids"), F.flatten("_rows._v").alias(f"{side}_vecs"))
 
 
 def nearest_approximate(probes: DataFrame, candidates: DataFrame, k: int, cells: int = 256, visit: int = 16,
