@@ -24,10 +24,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def with_each(v: Column, shared: Column, combine) -> Column:
+    """Combine every element with one per-row value.
+
+    A value used inside a lambda is computed again for each element; repeated into an array first,
+    it is computed once per row.
+    """
+    return F.zip_with(v, F.array_repeat(shared, F.size(v)), combine)
+
+
 def normalise(v: Column) -> Column:
     """Unit vector; null for the zero vector."""
     length = norm(v)
-    return F.when(length > 0, F.transform(as_double(v), lambda x: x / length))
+    return F.when(length > 0, with_each(as_double(v), length, lambda x, n: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -47,10 +56,8 @@ def is_valid(v: Column, dim: int, tolerance: float = 1e-3) -> Column:
 
 def softmax(values: Column) -> Column:
     """Softmax with the maximum subtracted first."""
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = with_each(values, F.array_max(values), lambda x, top: F.exp(x - top))
+    return with_each(powers, F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x), lambda x, total: x / total)
 
 
 def orthogonal_projection(source_dim: int, target_dim: int, seed: int = PROJECTION_SEED) -> np.ndarray:

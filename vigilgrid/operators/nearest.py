@@ -121,6 +121,6 @@ def nearest_approximate(probes: DataFrame, candidates: DataFrame, k: int, cells:
     spark = candidates.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
                                     f"_cell long, {vector} array<double>")
-    visits = nearest(probes, centres, visit, (), probe_id, "_cell", vector).select(probe_id, "_cell")
+    visits = cut_lineage(nearest(probes, centres, visit, (), probe_id, "_cell", vector).select(probe_id, "_cell"))
     spread = probes.select(probe_id, vector).join(visits, probe_id)
     return nearest(spread, placed, k, ["_cell"], probe_id, candidate_id, vector)

@@ -207,7 +207,8 @@ def stationary(path: Column, max_std: float = 4.0, rows: int = 10, at_least: int
         vals = F.transform(recent, lambda p: p[axis].cast("double"))
         n = F.size(recent)
         mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / n
-        return F.sqrt(F.aggregate(vals, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
+        squares = V.with_each(vals, mean, lambda v, m: (v - m) * (v - m))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, v: a + v) / n)
 
     return (F.size(path) >= at_least) & (deviation("x") < max_std) & (deviation("y") < max_std)
 
