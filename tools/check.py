@@ -6,7 +6,6 @@ usage: python tools/check.py [sf_dir] [name-substring ...]
 import math
 import sys
 import time
-import traceback
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))

@@ -4,9 +4,6 @@ from pyspark.sql import functions as F
 
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
-from vigilgrid.operators import rollups as R
-from vigilgrid.operators.greedy import burst_then_pause, chain_anchors, fixed_window
-from vigilgrid.operators.ordered import forward_fill, time_chunk
 from vigilgrid.plans import alerts as A
 from vigilgrid.sources.standin import AS_OF_MS
 

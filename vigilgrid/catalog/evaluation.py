@@ -4,7 +4,6 @@ from pyspark.sql import Window, functions as F
 
 from vigilgrid.catalog.registry import query
 from vigilgrid.functions import query_text as Q
-from vigilgrid.operators import ranking as K
 from vigilgrid.plans import evaluation as E
 
 RET = """ret AS (SELECT source AS query_id, lang AS category, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vigilgrid.catalog.alerting import ABANDON, DAY, FR, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
+from vigilgrid.catalog.alerting import DAY, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
 from vigilgrid.catalog.shapes import SKETCH

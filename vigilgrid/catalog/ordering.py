@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vigilgrid.catalog.registry import query
 from vigilgrid.operators import joins as J, ranking as K, tracks as T
-from vigilgrid.operators.ordered import back, forward_fill, islands, time_chunk, trailing_count, with_history
+from vigilgrid.operators.ordered import back, islands, time_chunk, trailing_count, with_history
 from vigilgrid.functions.geometry import within_polygon
 
 DAY = 86_400_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vigilgrid.functions.text import next_cursor, offset_of
+from vigilgrid.functions.text import next_cursor
 
 
 def top(df: DataFrame, score: str, id_col: str, k: int, floor: float | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilgrid.functions import vectors as V
-from vigilgrid.operators import joins as J, ranking as K
+from vigilgrid.operators import joins as J
 from vigilgrid.operators.graph import connected_components
 from vigilgrid.operators.nearest import nearest
 from vigilgrid.session import cut_lineage
