@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilgrid.llm import exact, packing, quality, secrets
+from vigilgrid.llm import bpe, exact, html, licenses, mil, packing, quality, secrets
 from vigilgrid.llm.registry import QUERIES, SQL, query, table
 
 
@@ -40,3 +40,31 @@ def gpt_encoder(name: str = "byte_bpe_50k.json"):
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), gpt_encoder).withColumnRenamed("doc", "doc_id")
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select(
+        "page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("long").alias("n_chars"))
+
+
+@query()
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil.trained(docs, table(spark, sf_dir, "labels"))
+    return mil.scored(docs, model).select(
+        F.col("id").alias("doc_id"), mil.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
