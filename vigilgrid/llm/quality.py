@@ -6,6 +6,7 @@ on rounding. Nothing is shuffled and no function of the user's runs.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -120,7 +121,10 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
 
 def accepted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects."""
-    return judged(docs, text_col, rules).where("kept").select("row.*")
+    # Counting the verdicts keeps the filter above the projections; pushed below, it would evaluate them again.
+    verdicts = judged(docs, text_col, rules).observe(
+        f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("seen"), F.count_if("kept").alias("kept"))
+    return verdicts.where("kept").select("row.*")
 
 
 def sql(relation: str, text: str = "text", rules: tuple[Rule, ...] = RULES, columns: str = "doc_id") -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilgrid.llm import bpe, exact, html, licenses, mil, packing, quality, secrets
+from vigilgrid.llm import bpe, exact, html, jaccard, licenses, mil, packing, quality, secrets
 from vigilgrid.llm.registry import QUERIES, SQL, query, table
 
 
@@ -68,3 +68,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.scored(docs, model).select(
         F.col("id").alias("doc_id"), mil.held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
