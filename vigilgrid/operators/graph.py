@@ -1,4 +1,4 @@
-"""Connected components by minimum label with pointer jumping."""
+"""Connected components by hooking roots and jumping pointers."""
 
 from __future__ import annotations
 
@@ -10,27 +10,55 @@ from vigilgrid.session import cut_lineage
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node)`` and undirected ``edges(a, b)`` to ``(node, component)``, the smallest member.
 
-    Each round lowers every label to its smallest neighbour's and then to that label's own label,
-    which halves chains, so rounds grow with the logarithm of the longest path. Rounds are
-    checkpointed and stop when nothing changes; there is no cap. Nodes are taken as distinct.
+    Each round every root hooks onto the root among its neighbours that a fresh hash ranks lowest, if
+    that ranks below its own; trees flatten by jumping pointers, and edges shrink to those between
+    the remaining roots. Roots that stay are lowest in their neighbourhood, at most half of those
+    with an edge and in expectation fewer, whatever the order of the ids, so rounds grow with the
+    logarithm of the nodes. Rounds are checkpointed and stop when no edge is left; there is no cap.
     """
-    both = cut_lineage(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where(F.col("a") != F.col("b")).distinct())
-    # Only linked nodes take part in the rounds; the others are their own component.
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
-        "node", F.least("node", "_m").alias("component")))
+    return labelled(nodes, edges)[0]
+
+
+def labelled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Components and the number of hooking rounds."""
+    live = cut_lineage(_between(edges.select("a", "b")))
+    labels = None
+    rounds = 0
+    while not live.isEmpty():
+        roots = _hooked(live, rounds)
+        labels = roots if labels is None else cut_lineage(
+            labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("onward")), "root", "left")
+            .select("node", F.coalesce("onward", "root").alias("root"))
+            .unionByName(roots.join(labels.select("node"), "node", "left_anti")))
+        ends = live.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
+            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        live = cut_lineage(_between(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        rounds += 1
+    if labels is None:
+        return nodes.select("node", F.col("node").alias("component")), rounds
+    # The smallest member names the component; a root is a member of its own.
+    smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
+    named = labels.join(smallest, "root").select("node", "component")
+    return nodes.select("node").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")), rounds
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Distinct edges without loops, the smaller end first."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hooked(edges: DataFrame, seed: int) -> DataFrame:
+    """``(node, root)`` of every node with an edge after one hooking, trees flattened."""
+    def rank(node: str):
+        return F.struct(F.xxhash64(node, F.lit(seed)).alias("h"), F.col(node).alias("n"))
+
+    both = edges.select(rank("a").alias("own"), rank("b").alias("near")).unionByName(
+        edges.select(rank("b").alias("own"), rank("a").alias("near")))
+    parents = cut_lineage(both.groupBy("own").agg(F.min("near").alias("near")).select(
+        F.col("own.n").alias("node"), F.least("own", "near")["n"].alias("root")))
     while True:
-        lowest = (both.join(labels.withColumnRenamed("node", "a"), "a")
-                  .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near")))
-        pulled = labels.join(lowest, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        hop = pulled.select(F.col("node").alias("component"), F.col("component").alias("onward"))
-        stepped = cut_lineage(pulled.join(hop, "component", "left").select(
-            "node", "was", F.least("component", F.coalesce("onward", "component")).alias("component")))
-        moved = not stepped.where(F.col("component") < F.col("was")).isEmpty()
-        labels = stepped.select("node", "component")
-        if not moved:
-            break
-    return nodes.select("node").join(labels, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"))
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("onward"))
+        jumped = cut_lineage(parents.join(up, "root").select("node", F.col("onward").alias("root"), (F.col("onward") != F.col("root")).alias("moved")))
+        parents = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
