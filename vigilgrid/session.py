@@ -43,7 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    return tempfile.mkdtemp(prefix="vigilgrid-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigilgrid-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,9 +53,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor never forces an iterative job to restart."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder, written once and read back.
+
+    A lost executor then never restarts what led to it. The table goes when the application ends.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    forget_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Have a scratch path removed when the driver's file system closes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
