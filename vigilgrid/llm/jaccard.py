@@ -9,7 +9,7 @@ Sets that occur once only among their tokens drop out first: a set can have a pa
 ceil(t n) of its tokens occur in other sets. Equal sets are one set with several documents. Groups
 of near copies are not expanded into pairs: in each round every set meets one pivot of its prefix
 tokens, what links is one component, and tokens whose sets are all in one component need no more
-pairs. When rounds stop linking, the pairs still between components are compared, all of them.
+pairs. Then the pairs still between components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from vigilgrid.session import cut_lineage
 WIDTH, PERCENT = 5, 75
 #: Token occurrences a task gathers before it hands them on, and those one merging task meets.
 GATHERED, MERGED = 4_000_000, 2_000_000
+#: Pairs for each prefix row below which the pairs left are compared at once.
+FEW = 2
 
 
 def least_overlap(n: Column) -> Column:
@@ -198,39 +200,73 @@ def _prefixed(members: DataFrame) -> DataFrame:
 
 
 def _joined(sets: DataFrame) -> DataFrame:
+    """``set, component`` after all links. Labels between rounds may lag behind the links found so far:
+    that costs pairs compared needlessly and loses none."""
     prefixes = cut_lineage(sets.select("set", "n", F.explode("p1").alias("token")))
-    label = cut_lineage(sets.select("set", F.col("set").alias("component")))
-    turn = 0
+    label = sets.select("set", F.col("set").alias("component"))
+    links, turn, stalled = [], 0, False
     while True:
-        open_ = _open_prefixes(prefixes, label)
-        first = open_.groupBy("token").agg(F.min_by(F.struct("set", "n", "component"), F.xxhash64("set", F.lit(turn))).alias("p"))
-        pivots = (open_.join(first, "token").where("component <> p.component").where(_near("n", "p.n"))
-                  .groupBy("set", F.col("p.set").alias("other")).count()
-                  .groupBy("set").agg(F.max_by("other", F.struct("count", "other")).alias("other")))
-        links = cut_lineage(_verified(pivots, sets))
-        if links.isEmpty():
+        now = cut_lineage(prefixes.join(label, "set"))
+        rows, pairs = _open_pairs(now)
+        if not pairs:
             break
-        label = _merged_labels(label, links)
+        if stalled or pairs <= FEW * rows:
+            links.append(cut_lineage(_verified(_all_pairs(now), sets)))
+            break
+        links.append(cut_lineage(_verified(_pivots(now, turn), sets)))
+        stalled = links[-1].isEmpty()
+        if not stalled:
+            label = _followed(label, links[-1])
         turn += 1
-    rest = _open_prefixes(prefixes, label)
-    most = rest.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    minor = rest.join(most, "token").where("component <> most").select(
+    if not links:
+        return label
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    nodes = sets.select(F.col("set").alias("node"))
+    return connected_components(nodes, every.select(F.col("set").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "set")
+
+
+def _open_pairs(now: DataFrame) -> tuple[int, float]:
+    """Prefix rows, and pairs of them that share a token across components."""
+    sizes = now.groupBy("token", "component").count().groupBy("token").agg(
+        F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count").cast("double")).alias("q"))
+    found = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s").cast("double") - F.col("q")) / 2)).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _pivots(now: DataFrame, turn: int) -> DataFrame:
+    """One pair for each set: itself and the pivot that most of its prefix tokens name."""
+    first = now.groupBy("token").agg(F.min_by(F.struct("set", "n", "component"), F.xxhash64("set", F.lit(turn))).alias("p"))
+    return (now.join(first, "token").where("component <> p.component").where(_near("n", "p.n"))
+            .groupBy("set", F.col("p.set").alias("other")).count()
+            .groupBy("set").agg(F.max_by("other", F.struct("count", "other")).alias("other")))
+
+
+def _all_pairs(now: DataFrame) -> DataFrame:
+    """Every pair that shares a prefix token across components; a token's largest component meets the
+    others only, never itself."""
+    most = (now.groupBy("token", "component").count().groupBy("token")
+            .agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1"))
+    minor = now.join(most, "token").where("component <> most").select(
         "token", F.col("set").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "most")
-    pairs = minor.join(rest, "token").where("ca <> component AND (component = most OR a < set)").where(_near("na", "n")).select(
+    return minor.join(now, "token").where("ca <> component AND (component = most OR a < set)").where(_near("na", "n")).select(
         F.col("a").alias("set"), F.col("set").alias("other")).distinct()
-    links = cut_lineage(_verified(pairs, sets))
-    return label if links.isEmpty() else _merged_labels(label, links)
 
 
-def _near(a: str, b: str) -> Column:
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def _followed(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after every component goes to the least component it is linked with, and twice on."""
+    a = label.select("set", F.col("component").alias("a"))
+    b = label.select(F.col("set").alias("other"), F.col("component").alias("b"))
+    edges = links.join(a, "set").join(b, "other").where("a <> b")
+    least = cut_lineage(edges.groupBy(F.greatest("a", "b").alias("component")).agg(F.min(F.least("a", "b")).alias("onward")))
+    for _ in range(2):
+        label = label.join(least, "component", "left").select("set", F.coalesce("onward", "component").alias("component"))
+    return cut_lineage(label)
 
 
-def _open_prefixes(prefixes: DataFrame, label: DataFrame) -> DataFrame:
-    """Prefix tokens whose sets lie in two components or more."""
-    now = cut_lineage(prefixes.join(label, "set"))
-    several = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return cut_lineage(now.join(several, "token", "left_semi"))
+def _near(a: str, b: str) -> Column:
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,15 +278,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * same >= PERCENT * (F.col("n") + F.col("m") - same)).select("set", "other")
 
 
-def _merged_labels(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after joining the components of linked sets."""
-    a = label.select("set", F.col("component").alias("a"))
-    b = label.select(F.col("set").alias("other"), F.col("component").alias("b"))
-    edges = links.join(a, "set").join(b, "other").select("a", "b")
-    moved = connected_components(label.select(F.col("component").alias("node")).distinct(), edges)
-    return cut_lineage(label.join(moved, label.component == moved.node).select("set", moved.component.alias("component")))
-
-
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay: of each component the row with its smallest id, once.
 
