@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilgrid.llm import bpe, exact, html, jaccard, licenses, mil, packing, quality, secrets
+from vigilgrid.llm import bpe, exact, html, jaccard, licenses, mil, packing, quality, secrets, suffixes
 from vigilgrid.llm.registry import QUERIES, SQL, query, table
 
 
@@ -73,3 +73,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
