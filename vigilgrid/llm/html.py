@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Element names by their role in HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -159,4 +159,5 @@ def extracted(pages: DataFrame, html_col: str = "html", carry: list[str] | None
     columns = [c for c in (pages.columns if carry is None else carry) if c != "_main"]
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
     rows = pages.select(row, F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, _main string").select("row.*", "_main")
+    schema = T.StructType([rows.schema["row"], T.StructField("_main", T.StringType())])
+    return rows.mapInArrow(run, schema).select("row.*", "_main")

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from vigilgrid.llm.words import _BYTE_VALUES, mixed, powers, slices, text_bytes
 from vigilgrid.session import cut_lineage
@@ -225,5 +225,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     copies = long_.groupBy("key").count().where("count > 1").select("key", F.lit(0).cast("long").alias("low"), F.lit(1 << 40).alias("high"))
     runs = repeated_windows(long_, length).unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     rows = docs.select(row, F.xxhash64(text).alias("key"), text.alias("text")).join(runs, "key", "left").select("row", "text", "runs")
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_covered(length), f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    schema = T.StructType([rows.schema["row"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+                          + [T.StructField("kept", T.BinaryType())])
+    return rows.mapInArrow(_covered(length), schema)
