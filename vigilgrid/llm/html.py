@@ -109,7 +109,8 @@ def score(kind: str, feature: str, noise: bool, weights: dict[tuple[str, str], f
         return min(TAG_MOST, weights.get((kind, feature), -1.0))
     if noise:
         return min(-WORD_LEAST, weights.get((kind, feature), -CLIP))
-    return max(WORD_LEAST, weights[kind, feature]) if weights.get((kind, feature), 1.0) >= 0 else weights[kind, feature]
+    weight = weights.get((kind, feature), 1.0)
+    return max(WORD_LEAST, weight) if weight >= 0 else weight
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
