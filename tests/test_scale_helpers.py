@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from vigilgrid.functions import geometry as G
 from vigilgrid.operators import folds, greedy, ordered, tracks as T
-from vigilgrid.operators.graph import connected_components
+from vigilgrid.operators.graph import connected_components, labelled
 from vigilgrid.operators.nearest import nearest
 from vigilgrid.operators.spatial import proximity_components
 from vigilgrid.plans.reports import exact_percentiles
@@ -140,6 +140,15 @@ def test_long_chain_is_one_component(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[i] == i for i in range(300, 400))
 
 
+@pytest.mark.parametrize("order", ["falling", "shuffled"])
+def test_component_rounds_are_logarithmic(spark, order):
+    n = 4096
+    ids = np.arange(n)[::-1] if order == "falling" else np.random.default_rng(3).permutation(n)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:])], "a bigint, b bigint")
+    got, rounds = labelled(spark.range(n).select(F.col("id").alias("node")), edges)
+    assert got.where("component <> 0").isEmpty() and got.count() == n and rounds <= 2 * np.log2(n)
+
+
 def test_proximity_components(spark):
     rng = np.random.default_rng(8)
     pts = rng.uniform(0, 900, (250, 2))
