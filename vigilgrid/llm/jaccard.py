@@ -7,9 +7,9 @@ compared exactly only if its prefixes meet under all three orders.
 
 Sets that occur once only among their tokens drop out first: a set can have a partner only if
 ceil(t n) of its tokens occur in other sets. Equal sets are one set with several documents. Groups
-of near copies are not expanded into pairs: in each round every set meets one pivot of its prefix
+of near copies are not expanded into pairs: in each round every set meets a few pivots of its prefix
 tokens, what links is one component, and tokens whose sets are all in one component need no more
-pairs. Then the pairs still between components are compared, all of them.
+pairs. Once rounds take few pairs away, those still between components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ WIDTH, PERCENT = 5, 75
 GATHERED, MERGED = 4_000_000, 2_000_000
 #: Pairs for each prefix row below which the pairs left are compared at once.
 FEW = 2
+#: Pivots of a token in one round, and pivots that a set meets in it.
+PIVOTS = 8
+#: A round has to take this share of the open pairs away to be worth another one.
+WORTH = 0.1
 
 
 def least_overlap(n: Column) -> Column:
@@ -204,20 +208,18 @@ def _joined(sets: DataFrame) -> DataFrame:
     that costs pairs compared needlessly and loses none."""
     prefixes = cut_lineage(sets.select("set", "n", F.explode("p1").alias("token")))
     label = sets.select("set", F.col("set").alias("component"))
-    links, turn, stalled = [], 0, False
+    links, turn, before = [], 0, float("inf")
     while True:
         now = cut_lineage(prefixes.join(label, "set"))
         rows, pairs = _open_pairs(now)
         if not pairs:
             break
-        if stalled or pairs <= FEW * rows:
+        if pairs <= FEW * rows or pairs > (1 - WORTH) * before:
             links.append(cut_lineage(_verified(_all_pairs(now), sets)))
             break
         links.append(cut_lineage(_verified(_pivots(now, turn), sets)))
-        stalled = links[-1].isEmpty()
-        if not stalled:
-            label = _followed(label, links[-1])
-        turn += 1
+        label = _followed(label, links[-1])
+        turn, before = turn + 1, pairs
     if not links:
         return label
     every = links[0]
@@ -236,11 +238,15 @@ def _open_pairs(now: DataFrame) -> tuple[int, float]:
 
 
 def _pivots(now: DataFrame, turn: int) -> DataFrame:
-    """One pair for each set: itself and the pivot that most of its prefix tokens name."""
-    first = now.groupBy("token").agg(F.min_by(F.struct("set", "n", "component"), F.xxhash64("set", F.lit(turn))).alias("p"))
-    return (now.join(first, "token").where("component <> p.component").where(_near("n", "p.n"))
+    """``PIVOTS`` pairs for each set: itself and the pivots that most of its prefix tokens name."""
+    row = F.struct("set", "n", "component")
+    drawn = now.groupBy("token").agg(F.array(*(
+        F.min_by(row, F.xxhash64("set", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS))).alias("drawn"))
+    met = now.join(drawn, "token").select("set", "n", "component", F.explode(F.array_distinct("drawn")).alias("p"))
+    return (met.where("component <> p.component").where(_near("n", "p.n"))
             .groupBy("set", F.col("p.set").alias("other")).count()
-            .groupBy("set").agg(F.max_by("other", F.struct("count", "other")).alias("other")))
+            .groupBy("set").agg(F.collect_list(F.struct("count", "other")).alias("met"))
+            .select("set", F.explode(F.slice(F.sort_array("met", asc=False), 1, PIVOTS)["other"]).alias("other")))
 
 
 def _all_pairs(now: DataFrame) -> DataFrame:
