@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilgrid.session import cut_lineage
+
 # The base kinds in their order, with the pattern, the least length and the group it holds for.
 ASSIGN = (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
           r"""|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -80,8 +82,10 @@ def scanned(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     found = found.select("row", *counts, "base", "access", F.expr("concat(assign, hex)").alias("strong"), *(
         F.expr(f"filter(all_{k}, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))").alias(k) for k, _ in WEAK),
         F.sha2("t", 256).alias("text_key"))
-    linked = _linked(found.select("text_key", "access", "strong", "key", "endpoint").dropDuplicates(["text_key"]))
-    met = found.join(linked, "text_key", "left").select(
+    # The parts are few beside the texts: written once, as the joins name them several times. Merge joins
+    # keep them off the driver.
+    linked = _linked(cut_lineage(found.select("text_key", "access", "strong", "key", "endpoint").dropDuplicates(["text_key"])))
+    met = found.join(linked.hint("merge"), "text_key", "left").select(
         *names, F.expr(f"sort_array(concat(base, coalesce(extra, {_NONE})))").alias("spans"))
     return plain.union(met)
 
@@ -99,7 +103,7 @@ def _linked(parts: DataFrame) -> DataFrame:
         """Rows of ``what`` whose interval comes within reach of one of ``other``."""
         left = what.withColumn("bin", _bins("x.s", "x.e"))
         right = other.select("text_key", F.col("x").alias("y"), _bins(f"x.s - {REACH}", f"x.e + {REACH}").alias("bin"))
-        return left.join(right, (left.text_key == right.text_key) & (left.bin == right.bin)
+        return left.join(right.hint("merge"), (left.text_key == right.text_key) & (left.bin == right.bin)
                          & F.expr(f"x.s <= y.e + {REACH} AND y.s <= x.e + {REACH}"), "left_semi").drop("bin").distinct()
 
     keys = near(part("key"), part("access"))
