@@ -1,10 +1,13 @@
 """Streams fed in several micro-batches give the batch answer."""
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vigilgrid.plans import alerts as A
-from vigilgrid.streaming import rollups as R, stateful as T
+from vigilgrid.streaming import rollups as R, sources as S, stateful as T
 
 START = 1_700_000_000_000  # the first watermark is the epoch, so rows at it would be late
 SCHEMA = "camera_id string, zone_id string, ts_ms bigint, ts timestamp"
@@ -12,8 +15,6 @@ SCHEMA = "camera_id string, zone_id string, ts_ms bigint, ts timestamp"
 
 def feed(spark, tmp_path, times, parts=4):
     """Write one file per stretch of time, oldest first, and read them one per micro-batch."""
-    import os
-
     folder = tmp_path / "in"
     for i, chunk in enumerate(np.array_split(np.sort(times), parts)):
         df = spark.createDataFrame([(f"c{t % 3}", "z", int(t)) for t in chunk], "camera_id string, zone_id string, ts_ms bigint")
@@ -47,3 +48,28 @@ def test_restart_continues_from_checkpoint(spark, tmp_path):
     for _ in range(2):
         R.run(T.suppress(source, ["camera_id", "zone_id"], 30_000), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.ts_ms - START for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 40_000]
+
+
+def test_layout_of_files_does_not_matter(spark, tmp_path):
+    times = START + np.random.default_rng(2).integers(0, 90 * 86_400_000, 600)
+    rows = spark.createDataFrame([(f"c{t % 3}", "z", int(t)) for t in times], "camera_id string, zone_id string, ts_ms bigint").withColumn("ts", F.timestamp_millis("ts_ms"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(24, F.xxhash64("ts_ms")).write.parquet(str(tmp_path / "many.parquet"))
+    (single,) = (tmp_path / "one").glob("*.parquet")
+    answers = []
+    for i, path in enumerate((str(single), str(tmp_path / "many.parquet"))):
+        stream = T.suppress(S.file_stream(spark, path, SCHEMA), ["camera_id", "zone_id"], 6 * 3_600_000)
+        R.run(stream, str(tmp_path / f"out{i}"), str(tmp_path / f"cp{i}"))
+        answers.append({(r.camera_id, r.ts_ms) for r in spark.read.parquet(str(tmp_path / f"out{i}")).collect()})
+    assert answers[0] == answers[1] and len(answers[0]) > 300
+
+
+def test_rows_later_than_the_watermark_fail_a_drain(spark, tmp_path):
+    for i, ms in enumerate((START + 10 * 86_400_000, START + 20 * 86_400_000, START)):
+        path = tmp_path / "in" / f"part={i}"
+        spark.createDataFrame([("c", "z", ms)], "camera_id string, zone_id string, ts_ms bigint").withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(str(path))
+        for f in path.glob("*.parquet"):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    stream = T.suppress(S.file_stream(spark, str(tmp_path / "in"), SCHEMA, 1), ["camera_id", "zone_id"])
+    with pytest.raises(RuntimeError, match="1 rows came later"):
+        R.run(stream, str(tmp_path / "out"), str(tmp_path / "cp"))

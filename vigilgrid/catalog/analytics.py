@@ -23,8 +23,9 @@ ZONE = ("CASE " + " ".join(
                           for w in words) + f" THEN '{z}'" for z, words in P.ZONE_WORDS.items()) + " ELSE 'lobby' END")
 
 
-def _hourly(t):
-    return R.events_hourly(t.alerts)
+def _hourly(t, **last):
+    """Hourly events, of the time before ``AS_OF`` that a report looks at or of all time."""
+    return R.events_hourly(P.recent(t.alerts, "start_time", AS_OF, **last) if last else t.alerts)
 
 
 @query("A1 F7", "alerts", "SELECT * FROM eh", HOURLY)
@@ -61,13 +62,13 @@ SELECT (SELECT count(*) FROM cameras WHERE org_id = {ORG} AND NOT is_deleted) AS
  (SELECT round(avg(avg_latency_ms), 1) FROM sh WHERE org_id = {ORG} AND bucket >= {SINCE['1 DAY']}) AS average_search_latency_ms""",
        f"{HOURLY}, {SEARCHES}")
 def realtime_kpis(t):
-    return P.realtime_kpis(t.cameras, _hourly(t), t.searches, ORG, AS_OF)
+    return P.realtime_kpis(t.cameras, _hourly(t, hours=1), t.searches, ORG, AS_OF)
 
 
 @query("A8", "searches", f"SELECT round(avg(avg_latency_ms), 4) AS mean_of_hours, round(sum(avg_latency_ms * "
        f"query_count) / sum(query_count), 4) AS mean_of_queries FROM sh WHERE org_id = {ORG} AND bucket >= {SINCE['30 DAYS']}", SEARCHES)
 def search_latency_weighted(t):
-    return P.latency_weighted(t.searches, ORG, AS_OF)
+    return P.latency_weighted(P.recent(t.searches, "created_at", AS_OF, days=30), ORG, AS_OF)
 
 
 HEATMAP = f"""placed AS (SELECT camera_id, {ZONE} AS zone FROM cameras WHERE org_id = {ORG}),
@@ -80,7 +81,7 @@ heat AS (SELECT h.range AS hour, """ + ", ".join(
 
 @query("A9 J5", "alerts cameras", "SELECT * FROM heat", f"{HOURLY}, {HEATMAP}")
 def traffic_heatmap(t):
-    return P.traffic_heatmap(_hourly(t), t.cameras, ORG, AS_OF)
+    return P.traffic_heatmap(_hourly(t, days=1), t.cameras, ORG, AS_OF)
 
 
 @query("A28", "alerts cameras", """SELECT hour, zone, value, round(value / top, 6) AS ratio,
@@ -89,7 +90,7 @@ def traffic_heatmap(t):
  FROM long, (SELECT greatest(max(value), 1)::DOUBLE AS top FROM long)""",
        f"{HOURLY}, {HEATMAP}, long AS (UNPIVOT heat ON {', '.join(P.ZONE_WORDS)} INTO NAME zone VALUE value)")
 def heatmap_bands(t):
-    return P.heatmap_bands(P.traffic_heatmap(_hourly(t), t.cameras, ORG, AS_OF))
+    return P.heatmap_bands(P.traffic_heatmap(_hourly(t, days=1), t.cameras, ORG, AS_OF))
 
 
 @query("J5", "cameras", f"SELECT camera_id, {ZONE} AS zone FROM cameras")
@@ -102,7 +103,7 @@ def camera_zones(t):
  count(*) FILTER (class_label IN ('vehicle','car','suv','truck')) AS vehicles
  FROM detections WHERE org_id = {ORG} AND date_trunc('day', created_at) >= TIMESTAMP '2001-06-01' - INTERVAL 90 DAYS GROUP BY 1""")
 def object_trends(t):
-    return P.object_trends(R.detections_daily(t.detections), ORG, "2001-06-01 00:00:00")
+    return P.object_trends(R.detections_daily(P.recent(t.detections, "created_at", "2001-06-01 00:00:00", days=90)), ORG, "2001-06-01 00:00:00")
 
 
 @query("A11", "alerts", f"SELECT event_type AS name, CAST(sum(event_count) AS BIGINT) AS value FROM eh WHERE org_id = {ORG} GROUP BY 1", HOURLY)
@@ -118,7 +119,7 @@ def severity_totals(t):
 @query("A13 F7", "alerts", f"SELECT printf('%02d:00', hour(bucket)) AS hour, CAST(sum(event_count) AS BIGINT) AS events "
        f"FROM eh WHERE org_id = {ORG} AND bucket >= {SINCE['30 DAYS']} GROUP BY 1", HOURLY)
 def peak_hours(t):
-    return P.peak_hours(_hourly(t), ORG, AS_OF)
+    return P.peak_hours(_hourly(t, days=30), ORG, AS_OF)
 
 
 HEALTH_REPORT = f"""rep AS (SELECT c.camera_id, name, location, status, uptime_percent, frame_drop_rate, latency_ms
@@ -130,13 +131,13 @@ HEALTH_REPORT = f"""rep AS (SELECT c.camera_id, name, location, status, uptime_p
 
 @query("A14 J4", "health cameras", "SELECT * FROM rep", f"{HEALTH}, {HEALTH_REPORT}")
 def camera_health(t):
-    return P.camera_health(R.health_hourly(t.health), t.cameras, ORG, AS_OF)
+    return P.camera_health(R.health_hourly(P.recent(t.health, "ts", AS_OF, days=1)), t.cameras, ORG, AS_OF)
 
 
 @query("P20", "health cameras", "SELECT * FROM rep WHERE status <> 'active' OR frame_drop_rate > 5 OR uptime_percent < 98",
        f"{HEALTH}, {HEALTH_REPORT}")
 def troubled_cameras(t):
-    return P.troubled_cameras(P.camera_health(R.health_hourly(t.health), t.cameras, ORG, AS_OF))
+    return P.troubled_cameras(P.camera_health(R.health_hourly(P.recent(t.health, "ts", AS_OF, days=1)), t.cameras, ORG, AS_OF))
 
 
 @query("A15 O9", "searches", f"SELECT query_text AS query, count(*) AS count FROM searches WHERE org_id = {ORG} AND "
@@ -149,7 +150,7 @@ def top_queries(t):
        f"round(coalesce(sum(zero_results_count) / nullif(sum(query_count), 0) * 100, 0), 2) AS zero_result_rate_percent "
        f"FROM sh WHERE org_id = {ORG} AND bucket >= {SINCE['30 DAYS']}", SEARCHES)
 def search_quality(t):
-    return P.search_quality(R.searches_hourly(t.searches), ORG, AS_OF)
+    return P.search_quality(R.searches_hourly(P.recent(t.searches, "created_at", AS_OF, days=30)), ORG, AS_OF)
 
 
 NOISE = f"""noise AS (SELECT strftime(start_time, '%Y-%m-%d') AS date, count(*) AS total_alerts,

@@ -16,7 +16,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 def _events(t):
     """The events table as a stream in the shape of the alerts view, with event time ``ts``."""
-    raw = S.file_stream(t.spark, t.sf_dir, "events.parquet", EVENTS)
+    raw = S.file_stream(t.spark, f"{t.sf_dir}/events.parquet", EVENTS)
     raw.createOrReplaceTempView("live_events_source")
     text = VIEWS["alerts"][0].replace("{events}", "live_events_source")
     return t.spark.sql(text).withColumn("ts", F.col("start_time").cast("timestamp")).withColumn("ts_ms", F.col("start_ms"))
@@ -37,7 +37,7 @@ def _drained(t, df, mode="append"):
 def _latest(t, df, keys):
     """Update-mode result: the newest batch's row per group."""
     out = scratch_path(t.spark, "feed")
-    R.upsert_latest(df, f"{out}/data", f"{out}/checkpoint", every=None).awaitTermination()
+    R.drained(R.upsert_latest(df, f"{out}/data", f"{out}/checkpoint", every=None))
     rows = t.spark.read.parquet(f"{out}/data")
     others = [c for c in rows.columns if c not in keys and c != "batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
@@ -64,6 +64,20 @@ def live_health_hourly(t):
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "org_id", "camera_id", *[F.round(c, 6).alias(c) for c in ("uptime_ratio", "avg_frame_drop_rate", "avg_detection_latency_ms")])
 
 
+@query("T15 A2", "alerts", """SELECT date_trunc('hour', start_time) AS bucket, org_id, count(*) AS query_count, round(avg(user_id), 6) AS avg_latency_ms,
+ count(*) FILTER (k < 20) AS zero_results_count FROM alerts GROUP BY ALL""")
+def live_searches_hourly(t):
+    e = _events(t).select("ts", "org_id", F.col("user_id").cast("double").alias("latency_ms"), F.when(F.col("k") >= 20, F.col("k")).otherwise(0).alias("results_count"))
+    out = _latest(t, R.searches_hourly(e), ["bucket", "org_id"])
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "org_id", "query_count", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "zero_results_count")
+
+
+@query("T15 A3", "alerts", "SELECT date_trunc('day', start_time) AS bucket, org_id, event_type AS class_label, count(*) AS object_count FROM alerts GROUP BY ALL")
+def live_detections_daily(t):
+    e = _events(t).select("ts", "org_id", F.col("event_type").alias("class_label"))
+    return _latest(t, R.detections_daily(e), ["bucket", "org_id", "class_label"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 @query("T1", "alerts", KEPT, suppressed_sql("cand AS (SELECT camera_id, event_type AS zone_id, start_ms AS ts_ms FROM alerts)", 6 * HOUR))
 def live_suppressed_alerts(t):
     rows = _events(t).select("camera_id", F.col("event_type").alias("zone_id"), "ts", "ts_ms")
@@ -74,7 +88,7 @@ def _rules(t, rules):
     found = _drained(t, T.rule_alerts(_points(t), rules, ttl_ms=10 * DAY))
     out = scratch_path(t.spark, "rules")
     found.write.parquet(out)
-    again = S.file_stream(t.spark, out, "*.parquet", "camera_id bigint, track_id bigint, event_type string, zone_id string, ts_ms bigint", 1000)
+    again = S.file_stream(t.spark, out, "camera_id bigint, track_id bigint, event_type string, zone_id string, ts_ms bigint")
     keyed = again.withColumn("ts", F.timestamp_millis("ts_ms"))
     return _drained(t, T.suppress(keyed, ["camera_id", "zone_id"], 6 * HOUR))
 
@@ -109,7 +123,7 @@ def live_crowds(t):
     rows = _points(t).withColumn("moment", F.floor(F.col("ts_ms") / (6 * HOUR))).withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(
         ["camera_id", "track_id", "moment"]).select("camera_id", "track_id", "class_id", (F.floor(F.col("ts_ms") / (6 * HOUR)) * (6 * HOUR)).cast("long").alias("ts_ms"),
                              (F.col("cx") - 20).alias("x1"), (F.col("cy") - 20).alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
-    T.per_batch_alerts(rows, "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    R.drained(T.per_batch_alerts(rows, "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint"))
     return t.spark.read.parquet(f"{out}/data").drop("batch")
 
 
@@ -153,7 +167,7 @@ def live_segments(t):
  r AS (SELECT lang, i, h, [h] AS kept, true AS ok FROM o WHERE i = 1 UNION ALL SELECT o.lang, o.i, o.h, CASE WHEN f THEN list_append(r.kept, o.h) ELSE r.kept END, f
  FROM r JOIN o ON o.lang = r.lang AND o.i = r.i + 1, LATERAL (SELECT len(list_filter(r.kept[-60:], lambda k: bit_count(xor(k, o.h)) <= 4)) = 0 AS f))""")
 def live_distinct_frames(t):
-    docs = S.file_stream(t.spark, t.sf_dir, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = S.file_stream(t.spark, f"{t.sf_dir}/documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     # A stream's first watermark is the epoch itself, so frame times start well after it.
     ms = F.col("doc_id") * 1000 + 1_600_000_000_000
     rows = docs.select(F.col("lang").alias("camera_id"), ms.alias("ts_ms"), F.timestamp_millis(ms).alias("ts"), F.expr(SKETCH).alias("sketch"))
@@ -192,5 +206,5 @@ def live_alert_sink(t):
     def write(batch, batch_id):
         A.publishable(A.with_event_id(batch)).write.mode("overwrite").json(f"{out}/data/batch={batch_id}")
 
-    (kept.writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
+    R.drained(kept.writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start())
     return t.spark.read.schema("event_id string, payload string").json(f"{out}/data").select("event_id", "payload")

@@ -42,13 +42,15 @@ def _class_of(w, s):
 
 SING = "CASE WHEN ends_with({0}, 's') AND length({0}) > 1 THEN {0}[:-2] ELSE {0} END"
 CLS = "list_sort(list_distinct(list_filter(list_transform({0}, lambda x: " + _class_of("lower(x)", SING.format("lower(x)")) + "), lambda c: c IS NOT NULL)))"
+LAST = "(?i)\\blast\\s+\\d+\\s*(?:hours?|h|minutes?|mins?|m)\\b"
 FT = f"""f1 AS (SELECT query_id, regexp_extract_all(trim(query_text), '(?i)\\b(?:cam|camera):([\\w\\-]+)', 1) AS cams, regexp_replace(trim(query_text), '(?i)\\b(?:on\\s+)?(?:cam|camera):[\\w\\-]+', '', 'g') AS x FROM searches),
  f2 AS (SELECT query_id, cams, nullif(regexp_extract(x, '(?i)\\bzone:([\\w\\-]+)', 1), '') AS z1, nullif(regexp_extract(x, '(?i)\\bin zone\\s+([\\w\\-]+)', 1), '') AS z2,
   CASE WHEN regexp_matches(x, '(?i)\\bzone:([\\w\\-]+)') THEN regexp_replace(x, '(?i)\\bzone:[\\w\\-]+', '', 'g') ELSE regexp_replace(x, '(?i)\\bin zone\\s+[\\w\\-]+', '', 'g') END AS x FROM f1),
  f3 AS (SELECT query_id, cams, coalesce(z1, z2) AS zone, {CLS.replace("{0}", "list_concat(regexp_extract_all(x, '(?i)\\b(?:but\\s+)?not\\s+(\\w+s?)', 1), regexp_extract_all(x, '(?i)\\bexcept\\s+(\\w+s?)', 1), regexp_extract_all(x, '(?i)\\bno\\s+(\\w+s?)', 1))")} AS excl,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\b(?:but\\s+)?not\\s+\\w+s?', '', 'g'), '(?i)\\bexcept\\s+\\w+s?', '', 'g'), '(?i)\\bno\\s+\\w+s?', '', 'g'),
-   '(?i)\\blast\\s+\\d+\\s*(?:hours?|h|minutes?|mins?|m)\\b', '', 'g'), '\\s+', ' ', 'g')) AS sem FROM f2),
- f4 AS (SELECT *, list_sort(list_filter({CLS.replace("{0}", "regexp_extract_all(lower(sem), '[\\p{L}\\p{N}_]+')")}, lambda c: NOT list_contains(excl, c))) AS wanted FROM f3)"""
+  regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\b(?:but\\s+)?not\\s+\\w+s?', '', 'g'), '(?i)\\bexcept\\s+\\w+s?', '', 'g'), '(?i)\\bno\\s+\\w+s?', '', 'g') AS x FROM f2),
+ f3b AS (SELECT * EXCLUDE (x), trim(regexp_replace(CASE WHEN regexp_matches(x, '{LAST}') THEN regexp_replace(x, '{LAST}', '', 'g') WHEN regexp_matches(x, '(?i)\\btoday\\b')
+  THEN regexp_replace(x, '(?i)\\btoday\\b', '', 'g') ELSE regexp_replace(x, '(?i)\\byesterday\\b', '', 'g') END, '\\s+', ' ', 'g')) AS sem FROM f3),
+ f4 AS (SELECT *, list_sort(list_filter({CLS.replace("{0}", "regexp_extract_all(lower(sem), '[\\p{L}\\p{N}_]+')")}, lambda c: NOT list_contains(excl, c))) AS wanted FROM f3b)"""
 
 
 @query("V15 F2 U4", "searches", "SELECT query_id, array_to_string(cams, ',') AS cameras, zone AS spatial_zone, array_to_string(wanted, ',') AS classes, array_to_string(excl, ',') AS excluded, sem AS semantic_query FROM f4", FT)

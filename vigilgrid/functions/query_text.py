@@ -156,7 +156,11 @@ def filter_terms(query: Column) -> Column:
     excluded = _classes(negated)
     for pattern in (r"(?i)\b(?:but\s+)?not\s+\w+s?", r"(?i)\bexcept\s+\w+s?", r"(?i)\bno\s+\w+s?",
                     r"(?i)\blast\s+\d+\s*(?:hours?|h|minutes?|mins?|m)\b"):
+        timed = text.rlike(pattern)  # of the last pattern, once the loop is over
         text = F.regexp_replace(text, pattern, "")
+    # One time phrase is taken out: a stretch, else today, else yesterday.
+    word = F.when(text.rlike(r"(?i)\btoday\b"), F.lit(r"(?i)\btoday\b")).otherwise(F.lit(r"(?i)\byesterday\b"))
+    text = F.when(timed, text).otherwise(F.regexp_replace(text, word, F.lit("")))
     text = collapse_spaces(text)
     wanted = F.array_sort(F.array_except(_classes(tokens(text)), excluded))
     return F.struct(cameras.alias("camera_ids"),

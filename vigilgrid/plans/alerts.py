@@ -225,5 +225,5 @@ def publishable(alerts: DataFrame) -> DataFrame:
     clean = alerts.withColumn("metadata", drop_keys(PRIVATE_WORDS)("metadata"))
     head = ["event_id", "camera_id", "event_type", "severity", "ts_ms", "zone_id"]
     body = F.to_json(F.struct(*[F.col(c).alias("timestamp_ms" if c == "ts_ms" else c) for c in head]), {"ignoreNullFields": "false"})
-    payload = F.concat(F.substring_index(body, "}", 1), F.lit(', "metadata": '), F.col("metadata"), F.lit("}"))
+    payload = F.concat(F.left(body, F.length(body) - 1), F.lit(', "metadata": '), F.coalesce("metadata", F.lit("{}")), F.lit("}"))
     return clean.select("event_id", payload.alias("payload"))

@@ -42,6 +42,15 @@ def zone_of_camera(name: Column, location: Column) -> Column:
     return F.coalesce(zone, F.lit("lobby"))
 
 
+def recent(rows: DataFrame, ts: str, as_of: str, **parts: int) -> DataFrame:
+    """Raw rows that any bucket of the last ``parts`` can hold, so that the time bound reaches the scan.
+
+    A bucket no older than the bound holds no row before it; what else this leaves of older buckets
+    the report's own filter removes.
+    """
+    return rows.where(F.col(ts) >= ago(as_of, **parts))
+
+
 def realtime_kpis(cameras: DataFrame, hourly: DataFrame, searches: DataFrame, org, as_of: str) -> DataFrame:
     cams = live_rows(for_tenant(cameras, org)).agg(
         F.count(F.lit(1)).alias("total_cameras"), F.count_if(F.col("status") == "active").alias("active_cameras"))

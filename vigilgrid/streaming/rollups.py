@@ -1,55 +1,64 @@
-"""Rollups kept current by windowed aggregation; late rows beyond the watermark are dropped."""
+"""Rollups kept current by windowed aggregation; rows later than ``lateness`` make a drain fail."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 LATENESS = "2 hours"
 
 
-def _bucketed(df: DataFrame, ts: str, width: str, keys: list[str], *aggs) -> DataFrame:
-    out = df.withWatermark(ts, LATENESS).groupBy(F.window(ts, width).alias("w"), *keys).agg(*aggs)
+def _bucketed(df: DataFrame, ts: str, width: str, lateness: str, keys: list[str], *aggs) -> DataFrame:
+    out = df.withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("w"), *keys).agg(*aggs)
     return out.select(F.col("w.start").alias("bucket"), *[c for c in out.columns if c != "w"])
 
 
-def events_hourly(events: DataFrame, ts: str = "ts") -> DataFrame:
-    return _bucketed(events, ts, "1 hour", ["org_id", "camera_id", "event_type", "severity"], F.count(F.lit(1)).alias("event_count"))
+def events_hourly(events: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    return _bucketed(events, ts, "1 hour", lateness, ["org_id", "camera_id", "event_type", "severity"], F.count(F.lit(1)).alias("event_count"))
 
 
-def searches_hourly(searches: DataFrame, ts: str = "ts") -> DataFrame:
-    return _bucketed(searches, ts, "1 hour", ["org_id"], F.count(F.lit(1)).alias("query_count"), F.avg("latency_ms").alias("avg_latency_ms"),
+def searches_hourly(searches: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    return _bucketed(searches, ts, "1 hour", lateness, ["org_id"], F.count(F.lit(1)).alias("query_count"), F.avg("latency_ms").alias("avg_latency_ms"),
                      F.count_if(F.col("results_count") == 0).alias("zero_results_count"))
 
 
-def detections_daily(detections: DataFrame, ts: str = "ts") -> DataFrame:
-    return _bucketed(detections, ts, "1 day", ["org_id", "class_label"], F.count(F.lit(1)).alias("object_count"))
+def detections_daily(detections: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    return _bucketed(detections, ts, "1 day", lateness, ["org_id", "class_label"], F.count(F.lit(1)).alias("object_count"))
 
 
-def health_hourly(health: DataFrame, ts: str = "ts") -> DataFrame:
-    return _bucketed(health, ts, "1 hour", ["org_id", "camera_id"],
+def health_hourly(health: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    return _bucketed(health, ts, "1 hour", lateness, ["org_id", "camera_id"],
                      F.avg(F.when(F.col("uptime_status") == "online", 1.0).otherwise(0.0)).alias("uptime_ratio"),
                      F.avg("frame_drop_rate").alias("avg_frame_drop_rate"), F.avg("detection_latency_ms").alias("avg_detection_latency_ms"))
 
 
-def segments(frames: DataFrame, ts: str = "ts", length_s: int = 30, overlap_s: int = 2) -> DataFrame:
+def segments(frames: DataFrame, ts: str = "ts", length_s: int = 30, overlap_s: int = 2, lateness: str = LATENESS) -> DataFrame:
     """Overlapping capture segments, the streaming form of ``plans.ingest.segments``."""
     w = F.window(ts, f"{length_s} seconds", f"{length_s - overlap_s} seconds")
-    out = frames.withWatermark(ts, LATENESS).groupBy("camera_id", w.alias("w")).agg(
+    out = frames.withWatermark(ts, lateness).groupBy("camera_id", w.alias("w")).agg(
         F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count(F.lit(1)).alias("frames"))
     return out.select("camera_id", F.col("w.start").alias("start_time"), "first_ms", "last_ms", "frames")
 
 
-def dwell_sessions(tracks: DataFrame, gap: str, ts: str = "ts") -> DataFrame:
+def dwell_sessions(tracks: DataFrame, gap: str, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Sessions of a track separated by ``gap``, with their dwell in seconds."""
-    out = tracks.withWatermark(ts, LATENESS).groupBy("camera_id", "track_id", F.session_window(ts, gap).alias("s")).agg(
+    out = tracks.withWatermark(ts, lateness).groupBy("camera_id", "track_id", F.session_window(ts, gap).alias("s")).agg(
         F.min("ts_ms").alias("first_seen"), F.max("ts_ms").alias("last_seen"))
     return out.select("camera_id", "track_id", "first_seen", "last_seen", ((F.col("last_seen") - F.col("first_seen")) / 1000.0).alias("dwell_s"))
 
 
 def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what is available into Parquet files under ``path``; exactly once through the checkpoint."""
-    (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start(path).awaitTermination())
+    drained(df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path))
+
+
+def drained(query: StreamingQuery) -> None:
+    """Wait for a query that stops by itself; fails if the watermark made it drop rows."""
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows came later than the watermark allows and are missing; allow more lateness or feed files in event-time order")
 
 
 def upsert_latest(df: DataFrame, folder: str, checkpoint: str, every: str | None = "5 seconds"):

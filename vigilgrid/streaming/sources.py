@@ -7,10 +7,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vigilgrid.sources.schemas import FRAME_MESSAGE
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
-    """Parquet files of a folder matching ``pattern``, as they arrive."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a table, which is a folder or a single file, as they arrive.
+
+    Files that are there at the same trigger form one micro-batch, so their number and order do not
+    decide which rows the watermark calls late. With ``files_per_trigger`` a backlog is cut into
+    micro-batches by age of the files; these must then hold rows in event-time order, within the lateness.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def frame_stream(spark: SparkSession, folder: str) -> DataFrame:

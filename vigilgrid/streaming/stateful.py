@@ -48,7 +48,7 @@ def stateful(df: DataFrame, keys: Sequence[str], out: str, step: Callable, ttl_m
         run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def suppress(alerts: DataFrame, keys: Sequence[str], window_ms: int = 30_000) -> DataFrame:
+def suppress(alerts: DataFrame, keys: Sequence[str], window_ms: int = 30_000, lateness: str = LATENESS) -> DataFrame:
     """Let an alert through unless one of its key was let through at most ``window_ms`` before."""
 
     def step(key, rows, memory):
@@ -59,10 +59,10 @@ def suppress(alerts: DataFrame, keys: Sequence[str], window_ms: int = 30_000) ->
                 found.append((int(ts),))
         return found
 
-    return stateful(alerts, keys, "ts_ms bigint", step, window_ms)
+    return stateful(alerts, keys, "ts_ms bigint", step, window_ms, lateness=lateness)
 
 
-def rule_alerts(tracks: DataFrame, rules: dict, window_ms: int = 30_000, ttl_ms: int = 3_600_000) -> DataFrame:
+def rule_alerts(tracks: DataFrame, rules: dict, window_ms: int = 30_000, ttl_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
     """Loitering, perimeter and wrong-direction candidates per track: ``event_type, zone_id, ts_ms``.
 
     Keyed by camera and track, so that a busy camera spreads; feed the result to ``suppress``,
@@ -98,10 +98,10 @@ def rule_alerts(tracks: DataFrame, rules: dict, window_ms: int = 30_000, ttl_ms:
                     found.append(("wrong_direction", rules.get("zone_id") or "", ts))
         return [f for f in found if f[0] in wanted]
 
-    return stateful(tracks, ["camera_id", "track_id"], "event_type string, zone_id string, ts_ms bigint", step, ttl_ms)
+    return stateful(tracks, ["camera_id", "track_id"], "event_type string, zone_id string, ts_ms bigint", step, ttl_ms, lateness=lateness)
 
 
-def track_states(tracks: DataFrame, frame_gap_ms: int, min_hits: int = 2, max_lost_ms: int = 30_000) -> DataFrame:
+def track_states(tracks: DataFrame, frame_gap_ms: int, min_hits: int = 2, max_lost_ms: int = 30_000, lateness: str = LATENESS) -> DataFrame:
     """Lifecycle of each track: its state at every sighting, and lost or deleted after silence.
 
     Restart continues from the checkpointed memory: hits, confidence sum, last sighting and state.
@@ -127,10 +127,10 @@ def track_states(tracks: DataFrame, frame_gap_ms: int, min_hits: int = 2, max_lo
         return [(memory["last"], "deleted", memory["born"], memory["hits"], memory["total"] / memory["hits"])]
 
     return stateful(tracks, ["camera_id", "track_id"],
-                    "ts_ms bigint, state string, born_ms bigint, hits bigint, avg_confidence double", step, max_lost_ms, on_silence=gone)
+                    "ts_ms bigint, state string, born_ms bigint, hits bigint, avg_confidence double", step, max_lost_ms, on_silence=gone, lateness=lateness)
 
 
-def camera_silence(heartbeats: DataFrame, stale_ms: int = 30_000) -> DataFrame:
+def camera_silence(heartbeats: DataFrame, stale_ms: int = 30_000, lateness: str = LATENESS) -> DataFrame:
     """``online`` at a camera's first report and after an outage, ``offline`` once it has been silent."""
 
     def step(key, rows, memory):
@@ -145,10 +145,10 @@ def camera_silence(heartbeats: DataFrame, stale_ms: int = 30_000) -> DataFrame:
         return found
 
     return stateful(heartbeats, ["camera_id"], "ts_ms bigint, status string", step, stale_ms + 1,
-                    on_silence=lambda key, memory: [(memory["last"] + stale_ms + 1, "offline")])
+                    on_silence=lambda key, memory: [(memory["last"] + stale_ms + 1, "offline")], lateness=lateness)
 
 
-def distinct_frames(frames: DataFrame, distance: int = 4, window: int = 300, ttl_ms: int = 86_400_000) -> DataFrame:
+def distinct_frames(frames: DataFrame, distance: int = 4, window: int = 300, ttl_ms: int = 86_400_000, lateness: str = LATENESS) -> DataFrame:
     """Frames not within ``distance`` bits of the camera's last ``window`` kept ones. Rows need ``sketch``."""
 
     def step(key, rows, memory):
@@ -161,10 +161,10 @@ def distinct_frames(frames: DataFrame, distance: int = 4, window: int = 300, ttl
         del kept[:-window]
         return found
 
-    return stateful(frames, ["camera_id"], "ts_ms bigint, sketch bigint", step, ttl_ms)
+    return stateful(frames, ["camera_id"], "ts_ms bigint, sketch bigint", step, ttl_ms, lateness=lateness)
 
 
-def rate_limit(requests: DataFrame, allowed: int = 100, width_ms: int = 3_600_000) -> DataFrame:
+def rate_limit(requests: DataFrame, allowed: int = 100, width_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
     """Requests beyond ``allowed`` in the window opened by a user's first one."""
 
     def step(key, rows, memory):
@@ -178,10 +178,10 @@ def rate_limit(requests: DataFrame, allowed: int = 100, width_ms: int = 3_600_00
                 found.append((ts, memory["opened"]))
         return found
 
-    return stateful(requests, ["user_id"], "ts_ms bigint, opened_ms bigint", step, width_ms)
+    return stateful(requests, ["user_id"], "ts_ms bigint, opened_ms bigint", step, width_ms, lateness=lateness)
 
 
-def lockouts(failures: DataFrame, burst: int = 5, within_ms: int = 600_000, pause_ms: int = 900_000) -> DataFrame:
+def lockouts(failures: DataFrame, burst: int = 5, within_ms: int = 600_000, pause_ms: int = 900_000, lateness: str = LATENESS) -> DataFrame:
     """Moments at which an account locks after ``burst`` failures inside ``within_ms``."""
 
     def step(key, rows, memory):
@@ -198,10 +198,10 @@ def lockouts(failures: DataFrame, burst: int = 5, within_ms: int = 600_000, paus
                 found.append((ts,))
         return found
 
-    return stateful(failures, ["user_id"], "locked_ms bigint", step, within_ms + pause_ms)
+    return stateful(failures, ["user_id"], "locked_ms bigint", step, within_ms + pause_ms, lateness=lateness)
 
 
-def abandoned_bags(frames: DataFrame, rules: dict, ttl_ms: int = 3_600_000) -> DataFrame:
+def abandoned_bags(frames: DataFrame, rules: dict, ttl_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
     """Candidates for bags left alone, keyed by camera; rows need track_id, class_id, cx, cy.
 
     The memory per bag is its last ten centres and the time it was left alone.
@@ -226,7 +226,7 @@ def abandoned_bags(frames: DataFrame, rules: dict, ttl_ms: int = 3_600_000) -> D
                     found.append((int(bag.track_id), int(ts)))
         return found
 
-    return stateful(frames, ["camera_id"], "track_id bigint, ts_ms bigint", step, ttl_ms)
+    return stateful(frames, ["camera_id"], "track_id bigint, ts_ms bigint", step, ttl_ms, lateness=lateness)
 
 
 def per_batch_alerts(tracks: DataFrame, name: str, rules: dict, folder: str, checkpoint: str):
