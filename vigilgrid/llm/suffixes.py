@@ -28,6 +28,7 @@ from vigilgrid.llm.words import _BYTE_VALUES, mixed, powers, slices, text_bytes
 from vigilgrid.session import cut_lineage
 
 LENGTH, GRAM, BLOCK = 200, 24, 16
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 class Prints:
@@ -42,6 +43,13 @@ class Prints:
         value = (self.sums[end] - self.sums[start]) * self.back[start]
         return mixed(value + mixed(((end - start).astype(np.uint64) << np.uint64(20)) + np.asarray(salt).astype(np.uint64)))
 
+    def each(self, width: int) -> np.ndarray:
+        """Fingerprints of the slices of ``width`` bytes at every place."""
+        value = self.sums[width:] - self.sums[:-width]
+        value *= self.back[:len(value)]
+        value += mixed(np.array([width << 20], np.uint64))
+        return mixed(value)
+
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, prints: Prints, length: int) -> tuple[np.ndarray, ...]:
     """Anchors of all windows that lie in one text: place, first and last window, gram name."""
@@ -49,28 +57,23 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, prints: Prints, length: int) -
     n = len(raw)
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    grams = prints.of(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    # Least value of every stretch of ``width`` grams: heads and tails of blocks of that width.
+    grams = prints.each(GRAM)
+    # Keys order by half of the hash and then by place, so the least key of a window tells its place.
+    # Least key of every stretch of ``width`` grams: heads and tails of blocks of that width.
     m = len(grams)
     padded = np.full(-(-m // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:m] = grams
+    np.bitwise_and(grams, _UPPER, out=padded[:m])
+    padded[:m] |= np.arange(m, dtype=np.uint64)
     tail = np.minimum.accumulate(padded.reshape(-1, width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    head = np.minimum.accumulate(padded.reshape(-1, width), axis=1).ravel()
-    starts = np.arange(n - length + 1)
-    least = np.minimum(tail[starts], head[starts + width - 1])
-    own = np.searchsorted(offsets, starts, "right")
-    starts = starts[starts + length <= offsets[own]]
-    least = least[starts]
-    # The first place of a window that holds its least value: the next place at or after the start.
-    value_change = np.flatnonzero(np.append([True], (least[1:] != least[:-1]) | (np.diff(starts) != 1)))
-    place = np.full(len(starts), -1, np.int64)
-    run_end = np.append(value_change[1:], len(starts))
-    for a, b in zip(value_change.tolist(), run_end.tolist()):
-        lo, hi = int(starts[a]), int(starts[b - 1])
-        where = lo + np.flatnonzero(grams[lo:hi + width] == least[a])
-        place[a:b] = where[np.searchsorted(where, starts[a:b])]
-    cut = np.flatnonzero(np.append([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1))) if len(starts) else np.zeros(0, np.int64)
-    last = np.append(cut[1:], len(starts)) - 1 if len(starts) else cut
+    np.minimum.accumulate(padded.reshape(-1, width), axis=1, out=padded.reshape(-1, width))
+    windows = n - length + 1
+    place = (np.minimum(tail[:windows], padded[width - 1:width - 1 + windows]) & ~_UPPER).view(np.int64)
+    inside = np.arange(length, n + 1) <= np.repeat(offsets[1:], np.diff(offsets))[:windows]
+    starts, place = np.flatnonzero(inside), place[inside]
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    cut = np.flatnonzero(np.append([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1)))
+    last = np.append(cut[1:], len(starts)) - 1
     return place[cut], starts[cut], starts[last], grams[place[cut]]
 
 
@@ -193,20 +196,23 @@ def _covered(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column("text"))
-            out = []
-            for r, runs in enumerate(batch.column("runs").to_pylist()):
-                own = raw[offsets[r]:offsets[r + 1]]
-                change = np.zeros(len(own) + 1, np.int32)
-                for x in runs or ():
-                    change[x["low"]] += 1
-                    change[min(len(own), x["high"] + length)] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                n_spans = int(np.count_nonzero(gone & ~np.append([False], gone[:-1])))
-                kept = own[~gone].tobytes()
-                out.append((len(own), int(gone.sum()), n_spans, kept))
-            size, removed, n_spans, kept = zip(*out)
-            yield pa.record_batch([batch.column("row"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                                   pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            runs = batch.column("runs")
+            row = pa.compute.list_parent_indices(runs).to_numpy(zero_copy_only=False)
+            low, high = (runs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+            # Covered bytes: starts of runs less ends of runs so far; runs end with their text.
+            begin, stop = offsets[row] + low, np.minimum(offsets[row] + high + length, offsets[row + 1])
+            edges = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(stop, minlength=len(raw) + 1)
+            gone = np.cumsum(edges)[:-1] > 0
+            first = gone.copy()
+            first[1:] &= ~gone[:-1]
+            at = offsets[:-1][np.diff(offsets) > 0]
+            first[at] = gone[at]
+            removed, spans = (np.append(0, np.cumsum(x))[offsets] for x in (gone, first))
+            size = np.diff(offsets)
+            ends = (offsets - removed).astype(np.int64)
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw[~gone])])
+            yield pa.record_batch([batch.column("row"), pa.array(size, pa.int64()), pa.array(np.diff(removed), pa.int64()),
+                                   pa.array(np.diff(spans), pa.int64()), kept.cast(pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
