@@ -157,8 +157,9 @@ def _windows(length: int):
 
 
 def _repeated(rows: DataFrame, name: str, place: str) -> DataFrame:
-    """Names met at two places or more; copies of a text have its places."""
-    where = F.struct("key", place)
+    """Names met at two places or more; copies of a text have its places. A place is told by its hash,
+    which keeps the rows that are shuffled flat."""
+    where = F.xxhash64("key", place)
     return rows.groupBy(name).agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select(name)
 
 
