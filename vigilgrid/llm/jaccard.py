@@ -276,10 +276,15 @@ def _near(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``(set, other)`` that are similar: filtered by two more prefixes, then compared exactly."""
-    left = pairs.join(sets.select("set", "n", "tokens", "p2", "p3"), "set")
-    right = sets.select(F.col("set").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("u"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
-    both = left.join(right, "other").where(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3"))
+    """Pairs ``(set, other)`` that are similar: filtered by two more prefixes, then compared exactly.
+
+    Prefixes travel as 32-bit hashes, which can only let a pair pass; whole sets travel for pairs that pass.
+    """
+    short = sets.select("set", *(F.expr(f"transform({p}, x -> hash(x))").alias(p) for p in ("p2", "p3")))
+    met = pairs.join(short, "set").join(short.toDF("other", "q2", "q3"), "other").where(
+        F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("set", "other")
+    both = met.join(sets.select("set", "n", "tokens"), "set").join(
+        sets.select(F.col("set").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("u")), "other")
     same = F.size(F.array_intersect("tokens", "u"))
     return both.where(100 * same >= PERCENT * (F.col("n") + F.col("m") - same)).select("set", "other")
 
