@@ -58,13 +58,12 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     local = df.withColumn(CHUNK, chunk).withColumn("_value", value)
     local = local.withColumn(
         name, F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end)))
-    tails = (local.where(F.col("_value").isNotNull()).groupBy(*keys, CHUNK)
-             .agg(F.max_by("_value", F.struct(*order)).alias("_tail")))
-    present = local.groupBy(*keys, CHUNK).agg(F.lit(1).alias("_one"))
+    # Rows without a value have a null order, which max_by passes over.
+    tails = local.groupBy(*keys, CHUNK).agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail"))
     across = (Window.partitionBy(*keys).orderBy(CHUNK)
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = (present.join(tails, keys + [CHUNK], "left")
-               .select(*keys, CHUNK, F.last("_tail", ignorenulls=True).over(across).alias("_carry")))
+    carried = tails.select(*keys, CHUNK, F.last("_tail", ignorenulls=True).over(across).alias("_carry"))
     return (local.join(carried, keys + [CHUNK], "left")
             .withColumn(name, F.coalesce(name, "_carry")).drop("_carry", "_value", CHUNK))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilgrid.functions import geometry as G, vectors as V
 from vigilgrid.operators import ordered
@@ -52,11 +52,10 @@ def previous_frame(boxes: DataFrame, camera: str, frame: str, frames_per_chunk:
 
 def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Pairs that are each other's best; ties go to the smaller partner id."""
-    rank_r = F.struct(F.col(score), -F.col(right))
-    rank_l = F.struct(F.col(score), -F.col(left))
-    best_r = pairs.groupBy(left).agg(F.max_by(right, rank_r).alias(right))
-    best_l = pairs.groupBy(right).agg(F.max_by(left, rank_l).alias(left))
-    return pairs.join(best_r, [left, right], "left_semi").join(best_l, [left, right], "left_semi")
+    best_r = Window.partitionBy(left).orderBy(F.col(score).desc(), F.col(right))
+    best_l = Window.partitionBy(right).orderBy(F.col(score).desc(), F.col(left))
+    ranked = pairs.withColumn("_best_r", F.row_number().over(best_r)).withColumn("_best_l", F.row_number().over(best_l))
+    return ranked.where("_best_r = 1 AND _best_l = 1").drop("_best_r", "_best_l")
 
 
 def associate_by_overlap(boxes: DataFrame, camera: str, frame: str, id_col: str, box: str,
