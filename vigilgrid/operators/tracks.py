@@ -83,7 +83,8 @@ def associate_two_stage(boxes: DataFrame, camera: str, frame: str, id_col: str,
     """Confident boxes are linked first, faint ones then compete for the boxes left over."""
     sure = boxes.where(F.col(score) >= high)
     faint = boxes.where((F.col(score) < high) & (F.col(score) >= low))
-    steps = previous_frame(boxes.where(F.col(score) >= low), camera, frame)
+    # Steps and first links are named twice: written once, so the boxes are not read and paired again.
+    steps = cut_lineage(previous_frame(boxes.where(F.col(score) >= low), camera, frame))
 
     def link(current: DataFrame, earlier: DataFrame, cost: float) -> DataFrame:
         now = current.join(steps, [camera, frame]).where(F.col("prev_frame").isNotNull()).select(
@@ -96,7 +97,7 @@ def associate_two_stage(boxes: DataFrame, camera: str, frame: str, id_col: str,
         return mutual_best(pairs, "prev_id", "id", "iou").select(
             camera, F.col("frame_now").alias(frame), "prev_id", "id", "iou")
 
-    first = link(sure, boxes.where(F.col(score) >= low), first_cost).withColumn("stage", F.lit("high"))
+    first = cut_lineage(link(sure, boxes.where(F.col(score) >= low), first_cost)).withColumn("stage", F.lit("high"))
     free = boxes.where(F.col(score) >= low).join(
         first.select(F.col("prev_id").alias(id_col)), id_col, "left_anti")
     second = link(faint, free, second_cost).withColumn("stage", F.lit("low"))
@@ -150,8 +151,9 @@ def lifecycle(rows: DataFrame, keys: Sequence[str], ts_ms: str, frame_gap_ms: in
         streak = streak & ((back("_h", i - 1)[ts_ms] - back("_h", i)[ts_ms]) <= frame_gap_ms)
     apart = F.col("gap_ms").isNull() | (F.col("gap_ms") > max_lost_ms)
     missed = F.coalesce(F.col("gap_ms") > frame_gap_ms, F.lit(False))
-    h = h.withColumn("_confirms", F.coalesce(streak, F.lit(False)))
-    h = forward_fill(h, keys, [ts_ms], F.when(apart, F.col(ts_ms)), chunk, "_epoch")
+    # Each step below names its input twice; a written table keeps that from multiplying the scans.
+    h = cut_lineage(h.withColumn("_confirms", F.coalesce(streak, F.lit(False))).drop("_h"))
+    h = cut_lineage(forward_fill(h, keys, [ts_ms], F.when(apart, F.col(ts_ms)), chunk, "_epoch"))
     epoch = list(keys) + ["_epoch"]
     first = h.groupBy(*epoch).agg(F.min(F.when(F.col("_confirms"), F.col(ts_ms))).alias("_first"))
     h = h.join(first, epoch, "left")
@@ -160,7 +162,7 @@ def lifecycle(rows: DataFrame, keys: Sequence[str], ts_ms: str, frame_gap_ms: in
     h = h.withColumn("recovered", confirmed & missed & ~apart)
     restart = apart | (missed & (F.col("state") == "tentative"))
     h = forward_fill(h, keys, [ts_ms], F.when(restart, F.col(ts_ms)), chunk, "life_start")
-    return h.drop("_h", "_confirms", "_epoch", "_first")
+    return h.drop("_confirms", "_epoch", "_first")
 
 
 def lifecycle_end(states: DataFrame, keys: Sequence[str], ts_ms: str, as_of_ms: int,
