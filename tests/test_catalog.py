@@ -32,3 +32,9 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     covered = {i for e in ENTRIES.values() for i in e.ids}
     assert {"A1", "J13", "T14", "V19", "G10", "D5", "E4", "S12", "R3"} <= covered
+
+
+@pytest.mark.parametrize("name, most", [("linked_by_overlap", 4), ("linked_two_stage", 5), ("track_lifecycles", 4)])
+def test_last_plan_reads_little(spark, name, most):
+    plan = ENTRIES[name].run(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= most
