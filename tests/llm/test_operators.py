@@ -197,6 +197,30 @@ def test_html_main_text(spark):
     assert got[0] == got[7] == got[12] == want and got[8] == got[9] == got[10] == ""
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<html class="has-sidebar"><body class="post no-sidebar"><main id="related"><article class="header-fixed"><h2 id="related-work">Related work</h2>'
+     '<p>All of it.</article></main></body></html>', "Related work\nAll of it."),
+    ("<html><head><title>No</title><meta charset=x><body><p>Open head.</body></html>", "Open head."),
+    ("<html><head><title>No</title><p>No body tag.</html>", "No body tag."),
+    ("<head><title>No</title>Bare words.", "Bare words."),
+    ('<p class="ad">x<p>Real text.', "Real text."),
+    ('<p class="ad">x<div>Real text.</div>', "Real text."),
+    ('<p class="ad">x<h2>Real text.</h2>', "Real text."),
+    ('<p class="ad">x<table><tr><td>Real text.</table>', "Real text."),
+    ('<ul><li class="share">x<li>Real text.<li class="ad"><b>x<li>More.</ul>', "Real text.\nMore."),
+    ('<ul><li class="ad">x<ul><li>x</ul>x<li>Real text.</ul>', "Real text."),
+    ('<ul><li>One<ul><li>Two<li>Three</li></ul>Four</li></ul>', "One\nTwo\nThree\nFour"),
+    ('<dl><dt class="ad">x<dd>Real text.<dd class="ad">x<dt>More.</dl>', "Real text.\nMore."),
+    ('<table><tr><td class="ad">x<td>Real text.<tr class="ad"><td>x<tr><td>More.</table>', "Real text.\nMore."),
+    ('<table><tbody class="ad"><tr><td>x<tbody><tr><td>Real text.</table>', "Real text."),
+    ('<table><tr><td class="ad">x<table><tr><td>x</table>x<td>Real text.</table>', "Real text."),
+    ('<datalist><option>x<optgroup><option>x</datalist>Real text.', "Real text."),
+    ('<div class="ad">x<p>x<div>x</div></div>Real text.', "Real text.")])
+def test_html_implied_ends_and_names(page, want):
+    assert " ".join(t for k, _, noise, t in html.tokens(page) if k == "words" and not noise).split() == want.split()
+    assert html.implied_end([("select", True), ("option", True)], "option") == 1
+
+
 def test_best_run():
     rng = random.Random(2)
     for _ in range(200):

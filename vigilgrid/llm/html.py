@@ -27,6 +27,24 @@ NOISE = frozenset("aside button canvas dialog footer form head header iframe men
                   "template textarea title".split())
 NOISE_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|modal|nav\w*|newsletter"
                          r"|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])")
+#: Elements that hold a page or name a part of it; a class or id never makes them noise.
+NEVER_NAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+# End tags that HTML lets a page leave out: a start tag closes the open elements listed for it, inside the nearest bound.
+HEAD_CONTENT = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+CLOSES_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
+                     "h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_CELLS = frozenset("td th".split())
+_ROWS = _CELLS | {"tr"}
+_PARTS = _ROWS | frozenset("caption colgroup tbody tfoot thead".split())
+CLOSES = {"li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "td": _CELLS | {"caption"}, "th": _CELLS | {"caption"},
+          "tr": _ROWS | {"caption", "colgroup"}, **dict.fromkeys("caption colgroup tbody tfoot thead".split(), _PARTS), "option": frozenset(["option"]),
+          "optgroup": frozenset("option optgroup".split()), "rt": frozenset("rt rp".split()), "rp": frozenset("rt rp".split())}
+# What may be left open inside a list item without keeping the next item from closing it.
+_LOOSE = INLINE | {"p", "div", "address"}
+_CELL_BOUNDS = frozenset("body button caption html object table td template th".split())
+BOUNDS = {"p": _CELL_BOUNDS, "li": _CELL_BOUNDS | {"ol", "ul", "menu", "dir"}, "dt": _CELL_BOUNDS | {"dl"}, "dd": _CELL_BOUNDS | {"dl"},
+          **dict.fromkeys(_PARTS, frozenset("body html table template".split())), **dict.fromkeys("option optgroup".split(), frozenset("body datalist html select".split())),
+          **dict.fromkeys("rt rp".split(), frozenset("body html ruby".split()))}
 _NAMED = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
@@ -35,14 +53,55 @@ _TOKEN = re.compile(
 CLIP, TAG_MOST, WORD_LEAST = 8.0, -0.1, 0.5
 
 
+def _depth(open_elements: list[tuple[str, bool]], names: frozenset[str], bounds: frozenset[str]) -> int | None:
+    """Place of the innermost open element of ``names`` that no element of ``bounds`` encloses more closely."""
+    for i in range(len(open_elements) - 1, -1, -1):
+        if open_elements[i][0] in names:
+            return i
+        if open_elements[i][0] in bounds:
+            return None
+    return None
+
+
+def implied_end(open_elements: list[tuple[str, bool]], name: str) -> int | None:
+    """How many open elements stay when a start tag closes others by itself; None if it closes none."""
+    to = None
+    if name == "body" or open_elements and open_elements[-1][0] == "head" and name not in HEAD_CONTENT:
+        to = _depth(open_elements, frozenset(["head"]), frozenset())
+    elif name in CLOSES:
+        at = len(open_elements)
+        if name in ("li", "dt", "dd"):
+            # Any block but a paragraph, div or address keeps the outer item open.
+            while at and (open_elements[at - 1][0] in _LOOSE or open_elements[at - 1][0] not in BLOCKS | NOISE):
+                at -= 1
+            to = at - 1 if at and open_elements[at - 1][0] in CLOSES[name] else None
+        else:
+            while at and open_elements[at - 1][0] not in BOUNDS[name]:
+                at -= 1
+                if open_elements[at][0] in CLOSES[name]:
+                    to = at
+    if name in CLOSES_P:
+        p = _depth(open_elements[:to], frozenset(["p"]), _CELL_BOUNDS)
+        to = p if p is not None else to
+    return to
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """``(kind, feature, noise, text)``: kind is tag or words; the feature names the element."""
     open_elements: list[tuple[str, bool]] = []
     noisy = 0
     at = 0
 
+    def close(to: int | None) -> None:
+        nonlocal noisy
+        if to is not None:
+            noisy -= sum(n for _, n in open_elements[to:])
+            del open_elements[to:]
+
     def words(upto: int) -> Iterator[tuple[str, str, bool, str]]:
         if upto > at:
+            if open_elements and open_elements[-1][0] == "head" and not page[at:upto].isspace():
+                close(len(open_elements) - 1)
             holder = next((n for n, _ in reversed(open_elements) if n in BLOCKS), "none")
             yield "words", "noise" if noisy else holder, bool(noisy), page[at:upto]
 
@@ -55,14 +114,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             continue
         known = name if name in BLOCKS or name in INLINE or name in NOISE else "other"
         if m[2]:
-            depth = next((i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == name), None)
             noise = bool(noisy)
-            if depth is not None:
-                noisy -= sum(n for _, n in open_elements[depth:])
-                del open_elements[depth:]
+            close(_depth(open_elements, frozenset([name]), BOUNDS.get(name, frozenset())))
             yield "tag", f"/{known}" + "!" * noise, noise, name
         else:
-            noise = name in NOISE or any(NOISE_NAMES.search(" ".join(filter(None, x))) for x in _NAMED.findall(m[4]))
+            close(implied_end(open_elements, name))
+            noise = name in NOISE or name not in NEVER_NAMED and any(NOISE_NAMES.search(" ".join(filter(None, x))) for x in _NAMED.findall(m[4]))
             if name not in VOID and not m[4].rstrip().endswith("/"):
                 open_elements.append((name, noise))
                 noisy += noise
