@@ -221,6 +221,17 @@ def test_html_implied_ends_and_names(page, want):
     assert html.implied_end([("select", True), ("option", True)], "option") == 1
 
 
+def test_html_noise_longer_than_the_text_beside_it(spark):
+    pages, want = [PAGE.replace("<aside>side</aside>", "")] * 20, {}
+    for noise in ("<aside>{}</aside>", '<div class="advert"><p>{}</p></div>', "<form><label>{}</label></form>", '<section id="comments"><p>{}</p></section>'):
+        for sizes in ((80, 100, 300), (300, 100, 80), (80, 1000, 80)):
+            first, side, last = (" ".join(f"{w}{i}" for i in range(n)) for w, n in zip(("first", "side", "last"), sizes))
+            want[len(pages)] = f"{first}\n{last}"
+            pages.append(f"<html><head><title>No</title></head><body><div><p>{first}</p>{noise.format(side)}<p>{last}</p></div></body></html>")
+    got = {r.doc_id: r._main for r in html.extracted(frame(spark, list(enumerate(pages))), "text").collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_best_run():
     rng = random.Random(2)
     for _ in range(200):

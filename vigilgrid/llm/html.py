@@ -1,7 +1,7 @@
 """Main text of web pages by a maximum-scoring run of tokens.
 
 A page is a sequence of tags and words. Words score by the element that holds them, tags score below
-zero; both weights are log odds of lying inside the article, learned from the pages that mark one. A
+zero, noise elements and all they hold score zero; both weights are log odds of lying inside the article, learned from the pages that mark one. A
 linear scan finds the run with the highest sum, and its words outside noise elements are the text.
 """
 
@@ -162,10 +162,11 @@ def learned_weights(pages: DataFrame, html_col: str = "html") -> dict[tuple[str,
 
 
 def score(kind: str, feature: str, noise: bool, weights: dict[tuple[str, str], float]) -> float:
+    """Noise is left out of the text anyway, so it neither extends a run nor parts one."""
+    if noise:
+        return 0.0
     if kind == "tag":
         return min(TAG_MOST, weights.get((kind, feature), -1.0))
-    if noise:
-        return min(-WORD_LEAST, weights.get((kind, feature), -CLIP))
     weight = weights.get((kind, feature), 1.0)
     return max(WORD_LEAST, weight) if weight >= 0 else weight
 
