@@ -254,6 +254,31 @@ def test_license_spans(spark, awkward):
     assert hit.license == "mit" and hit.matched == len(mit) - 3 and text[40][hit.start:hit.end] == changed
 
 
+def test_licenses_with_other_marks_and_changed_words(spark):
+    rows, want = [(0, "* // - words (of) \u201cmarks\u201d --"), (1, "")], {}
+
+    def add(text, name, matched):
+        want[len(rows)] = (name, matched, text)
+        rows.append((len(rows), f"é before {text} after it"))
+
+    for name in ("mit-note", "apache-note", "gpl3-note", "cc-by-nc-note"):
+        words = licenses.TEMPLATES[name].rstrip(".").split()
+        add(" ".join(words).upper() + ",", name, len(words))
+        add(" * ".join(f"\u201c{w}\u201d;" for w in words), name, len(words))
+        for i in range(1, len(words) - 1):
+            add(" ".join([*words[:i], "other", *words[i + 1:]]), name, len(words) - 1)
+    for name, text in licenses.TEMPLATES.items():
+        if name.endswith("-part") or f"{name}-part" in licenses.TEMPLATES or name == "bsd-3":
+            add(text.replace('"', "\u201d"), name, len(text.split()))
+    got = {}
+    for r in licenses.scanned(frame(spark, rows)).collect():
+        # The longer notice begins with the note.
+        if not (r.license == "apache-note" and want[r.id][0] in ("apache", "apache-part")):
+            got.setdefault(r.id, []).append((r.license, r.matched, rows[r.id][1][r.start:r.end]))
+    assert got == {i: [w] for i, w in want.items()}
+    assert all(licenses.TEMPLATES[n].rstrip(".").split()[-1] == w for n, w in (("mit", "SOFTWARE"), ("isc", "SOFTWARE"), ("bsd", "DAMAGE"), ("apache", "License")))
+
+
 def test_classifier_on_held_out_rows(spark):
     got = queries.op8_quality_classifier(spark, SF)
     truth = spark.read.parquet(f"{SF}/labels.parquet")

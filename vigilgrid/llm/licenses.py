@@ -1,12 +1,13 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
 Templates are short and fixed, so their inverted index travels with the job and no row is shuffled.
-Every word trigram of a text is looked up in the index; hits of one template on neighbouring
+Every word trigram of a text, for short templates every bigram, is looked up in the index; hits of one template on neighbouring
 diagonals form a candidate, which a banded alignment turns into matched words and a span.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -22,54 +23,111 @@ TEMPLATES = {
     "apache-note": "Licensed under the Apache License, Version 2.0.",
     "gpl3-note": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-note": "Licensed under CC BY-NC 4.0.",
-    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+}
+#: First paragraphs, which many texts give alone.
+PARTS = {
+    "mit-part": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
             "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
             "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
             "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
             "included in all copies or substantial portions of the Software."),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "isc-part": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
             "provided that the above copyright notice and this permission notice appear in all copies."),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "bsd-part": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
             "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
             "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
             "the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    "apache": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+    "apache-part": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
                "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
                "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES "
                "OR CONDITIONS OF ANY KIND, either express or implied."),
-    "gpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+    "gpl-part": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
             "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
-            "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+    "unlicense-part": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
                   "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
                   "commercial or non-commercial, and by any means."),
 }
-GRAM, WINDOW, BAND = 3, 4, 8
+_NO_ENDORSEMENT = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+                   "from this software without specific prior written permission.")
+_MIT_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+                 "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS{} BE LIABLE FOR ANY CLAIM, "
+                 "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+                 "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_ISC_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+                 "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+                 "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+                 "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_BSD_WARRANTY = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+                 "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+                 "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+                 "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+                 "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+                 "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+TEMPLATES |= {
+    "mit": f"{PARTS['mit-part']} {_MIT_WARRANTY.format(' OR COPYRIGHT HOLDERS')}",
+    "isc": f"{PARTS['isc-part']} {_ISC_WARRANTY}",
+    "bsd": f"{PARTS['bsd-part']} {_BSD_WARRANTY}",
+    "bsd-3": f"{PARTS['bsd-part']} {_NO_ENDORSEMENT} {_BSD_WARRANTY}",
+    "apache": f"{PARTS['apache-part']} See the License for the specific language governing permissions and limitations under the License.",
+    "gpl": (f"{PARTS['gpl-part']} This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+            "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
+            "received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+            "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "unlicense": (f"{PARTS['unlicense-part']} In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and "
+                  "all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and "
+                  "to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of "
+                  f"all present and future rights to this software under copyright law. {_MIT_WARRANTY.format('')} For more information, please "
+                  "refer to <https://unlicense.org/>"),
+} | PARTS
+#: Templates with words in common; where their spans overlap, the one with most matched words counts.
+FAMILY = {name: name.removesuffix("-part") for name in PARTS} | {"bsd-3": "bsd"}
+GRAM, BAND = 3, 8
 #: Least share of a template's words that must be matched.
 COVERAGE = 0.75
 
 
-def _grams(hashes: np.ndarray) -> np.ndarray:
-    n = len(hashes) - GRAM + 1
-    return mixed(sum(hashes[i:i + n] * _MIX[i] for i in range(GRAM))) if n > 0 else np.zeros(0, np.uint64)
+def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    n = len(hashes) - size + 1
+    return mixed(sum(hashes[i:i + n] * _MIX[i] for i in range(size))) if n > 0 else np.zeros(0, np.uint64)
+
 
+def shared_run(n: int) -> int:
+    """Words that follow one another, at least, where so many of ``n`` match as ``COVERAGE`` asks and the others are changed or left out."""
+    matched = max(1, math.ceil(COVERAGE * n))
+    return -(-matched // (n - matched + 1))
 
-def winnowed(grams: np.ndarray) -> list[int]:
+
+def winnowed(grams: np.ndarray, width: int) -> list[int]:
     """Places of the least gram of every window, the last of equals."""
-    width = min(WINDOW, len(grams))
+    width = min(width, len(grams))
     return sorted({i + width - 1 - int(np.argmin(grams[i:i + width][::-1])) for i in range(len(grams) - width + 1)}) if width else []
 
 
-def index(templates: dict[str, str]) -> tuple[list[np.ndarray], dict[int, list[tuple[int, int]]]]:
-    """Word hashes of each template, and gram -> (template, place)."""
-    bodies, places = [], defaultdict(list)
+def index(templates: dict[str, str]) -> tuple[list[np.ndarray], dict[int, dict[int, list[tuple[int, int]]]]]:
+    """Word hashes of each template, and by gram size gram -> (template, place).
+
+    Grams and windows are as wide as the run every hit shares allows, so none is missed; below a run of
+    ``GRAM`` words grams are shorter, and at that run each gram is kept.
+    """
+    bodies, places = [], defaultdict(lambda: defaultdict(list))
     for t, text in enumerate(templates.values()):
-        bodies.append(words_of(pa.array([text])).hashes)
-        grams = _grams(bodies[-1])
-        for i in winnowed(grams):
-            places[int(grams[i])].append((t, i))
-    return bodies, dict(places)
+        bodies.append(words_of(pa.array([text]), bare=True).hashes)
+        if not len(bodies[-1]):
+            continue
+        run = shared_run(len(bodies[-1]))
+        size = min(GRAM, run)
+        grams = _grams(bodies[-1], size)
+        for i in winnowed(grams, run - size + 1):
+            places[size][int(grams[i])].append((t, i))
+    return bodies, {size: dict(p) for size, p in places.items()}
+
+
+def may_match(template: np.ndarray, words: np.ndarray, shift: int) -> bool:
+    """Whether the words within reach of an alignment hold as many words of the template as a hit needs."""
+    near = words[max(0, shift - BAND):max(0, shift + len(template) + BAND)]
+    least = COVERAGE * len(template)
+    return np.isin(near, template).sum() >= least and np.isin(template, near).sum() >= least
 
 
 def aligned(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -109,29 +167,32 @@ def _candidates(hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
         yield t, group[len(group) // 2]
 
 
-def found_in(column: pa.Array, names: list[str], bodies: list[np.ndarray], places: dict, keys: np.ndarray) -> Iterator[tuple]:
+def found_in(column: pa.Array, names: list[str], bodies: list[np.ndarray], places: dict, keys: dict[int, np.ndarray]) -> Iterator[tuple]:
     """(row, license, coverage, matched, start, end) of a batch; start and end are code points."""
-    w = words_of(column)
-    grams = _grams(w.hashes)
-    if not len(grams):
-        return
-    whole = w.rows[:len(grams)] == w.rows[GRAM - 1:]
-    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    where = np.flatnonzero((keys[at] == grams) & whole)
+    w = words_of(column, bare=True)
     hits = defaultdict(list)
-    for i in where.tolist():
-        r = int(w.rows[i])
-        hits[r] += [(t, i - int(w.first[r]), k) for t, k in places[int(grams[i])]]
+    for size, known in keys.items():
+        grams = _grams(w.hashes, size)
+        if not len(grams):
+            continue
+        whole = w.rows[:len(grams)] == w.rows[size - 1:]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        for i in np.flatnonzero((known[at] == grams) & whole).tolist():
+            r = int(w.rows[i])
+            hits[r] += [(t, i - int(w.first[r]), k) for t, k in places[size][int(grams[i])]]
+    kin = [FAMILY.get(name, name) for name in names]
     for r, own in hits.items():
         a, b = int(w.first[r]), int(w.first[r + 1])
         spans = set()
         for t, shift in _candidates(own):
+            if not may_match(bodies[t], w.hashes[a:b], shift):
+                continue
             matched, first, last = aligned(bodies[t], w.hashes[a:b], shift)
             if matched >= COVERAGE * len(bodies[t]):
                 spans.add((t, matched, first, last))
         for t, matched, first, last in sorted(spans):
-            # Of several alignments that overlap, the longest of a template counts.
-            if any(o[0] == t and o != (t, matched, first, last) and o[2] <= last and first <= o[3] and (o[1], -o[2]) > (matched, -first) for o in spans):
+            # Of several alignments that overlap, the longest of a template and its family counts, of equals that of the shortest template.
+            if any(kin[o[0]] == kin[t] and o[2] <= last and first <= o[3] and (o[1], -len(bodies[o[0]]), -o[2]) > (matched, -len(bodies[t]), -first) for o in spans):
                 continue
             head = w.raw[w.offsets[r]:w.ends[a + last]]
             start, end = int(w.starts[a + first] - w.offsets[r]), len(head)
@@ -143,13 +204,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, id_col: st
     """``id, license, coverage, matched, start, end``: one row per template found in a row's text.
 
     Null and empty texts hold none; repeated rows report each; spans are code points, end exclusive.
-    Words compare in lower case (A-Z), with their punctuation. Other columns are not read.
+    Words compare in lower case (A-Z), without marks at their edges; spans take those in. Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies, places = index(templates)
-        names, keys = list(templates), np.array(sorted(places), np.uint64)
+        names, keys = list(templates), {size: np.array(sorted(p), np.uint64) for size, p in places.items()}
         for batch in slices(batches, "text"):
             rows = list(found_in(batch.column("text"), names, bodies, places, keys)) if len(keys) else []
             if rows:

@@ -22,6 +22,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWERED_VALUES = _BYTE_VALUES[_LOWER]
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,7 +75,17 @@ class Words:
     hashes: np.ndarray
 
 
-def words_of(column: pa.Array) -> Words:
+def _marks(raw: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII marks and of U+2000-U+203F, typographic quotes and dashes among them."""
+    marks = _MARK[raw]
+    at = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x80)) if len(raw) > 2 else np.zeros(0, np.int64)
+    for i in range(3):
+        marks[at + i] = True
+    return marks
+
+
+def words_of(column: pa.Array, bare: bool = False) -> Words:
+    """``bare`` words are hashed without the marks at their edges; words of marks alone are left out."""
     raw, offsets = text_bytes(column)
     n = len(raw)
     inside = np.zeros(n + 2, bool)
@@ -82,11 +94,17 @@ def words_of(column: pa.Array) -> Words:
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    heads, tails = starts, ends
+    if bare:
+        core = np.flatnonzero(inside[1:-1] & ~_marks(raw))
+        i, j = np.searchsorted(core, starts), np.searchsorted(core, ends)
+        has = i < j
+        starts, ends, heads, tails = starts[has], ends[has], core[i[has]], core[j[has] - 1] + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets, "left")
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWERED_VALUES[raw] * powers(n)[:n], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * powers(n, inverse=True)[starts] + (ends - starts).astype(np.uint64))
+    hashes = mixed((sums[tails] - sums[heads]) * powers(n, inverse=True)[heads] + (tails - heads).astype(np.uint64))
     return Words(raw, offsets, starts, ends, rows, first, hashes)
 
 
