@@ -1,11 +1,15 @@
 """Streams fed in several micro-batches give the batch answer."""
 
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilgrid.catalog import load
+from vigilgrid.catalog.alerting import HOUR, frames
+from vigilgrid.catalog.registry import Inputs
 from vigilgrid.plans import alerts as A
 from vigilgrid.streaming import rollups as R, sources as S, stateful as T
 
@@ -73,3 +77,21 @@ def test_rows_later_than_the_watermark_fail_a_drain(spark, tmp_path):
     stream = T.suppress(S.file_stream(spark, str(tmp_path / "in"), SCHEMA, 1), ["camera_id", "zone_id"])
     with pytest.raises(RuntimeError, match="1 rows came later"):
         R.run(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+
+
+def test_live_crowds_equal_the_batch_rule_on_means(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest scale holds no crowd
+    t = Inputs(spark, sf_dir)
+    closed = t.points.agg(F.max("ts_ms")).first()[0] - 2 * HOUR
+    batch = A.crowd(frames(t), {"density_threshold": 15.0, "count_threshold": 3}).where(F.col("ts_ms") + 6 * HOUR <= closed)
+
+    def shown(alerts):
+        found = {}
+        for r in alerts.collect():
+            m = json.loads(r.metadata)
+            key = r.camera_id, r.event_type, r.ts_ms, m["people_count"], tuple(sorted(m["track_ids"])), *(round(x, 6) for x in m["centroid"] + m["bounding_box"])
+            found[key] = found.get(key, 0) + 1
+        return found
+
+    want = shown(batch)
+    assert want and shown(load()["live_crowds"].run(spark, sf_dir)) == want

@@ -120,9 +120,11 @@ def live_abandoned(t):
 @query("T5 T7")
 def live_crowds(t):
     out = scratch_path(t.spark, "crowds")
-    rows = _points(t).withColumn("moment", F.floor(F.col("ts_ms") / (6 * HOUR))).withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(
-        ["camera_id", "track_id", "moment"]).select("camera_id", "track_id", "class_id", (F.floor(F.col("ts_ms") / (6 * HOUR)) * (6 * HOUR)).cast("long").alias("ts_ms"),
-                             (F.col("cx") - 20).alias("x1"), (F.col("cy") - 20).alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
+    # A moment's means are final once the watermark passes its end; all its tracks then come in one micro-batch.
+    means = _points(t).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "2 hours").groupBy(
+        F.window("ts", "6 hours"), "camera_id", "track_id", "class_id").agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"))
+    rows = means.select("camera_id", "track_id", "class_id", F.unix_millis("window.start").alias("ts_ms"),
+                        (F.col("cx") - 20).alias("x1"), (F.col("cy") - 20).alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
     R.drained(T.per_batch_alerts(rows, "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint"))
     return t.spark.read.parquet(f"{out}/data").drop("batch")
 
