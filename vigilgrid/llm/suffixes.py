@@ -1,8 +1,7 @@
-"""Removal of long repeated byte strings by sampled prefix doubling.
+"""Removal of long repeated byte strings by minimiser anchors and fingerprints.
 
-Prefix doubling names the strings that start at every position by ever longer prefixes, drops the
-unique ones and stops at the threshold. Here a name is a 64-bit fingerprint of the bytes, which
-Spark groups and reranks, and only sampled positions take part: of every window of ``length`` bytes the
+This is not prefix doubling: no ranks are paired and no offset doubles. A name is a 64-bit fingerprint of
+the bytes, which Spark groups, and only sampled positions take part: of every window of ``length`` bytes the
 place with the least hash of ``GRAM`` bytes is its anchor. Equal windows have their anchors at the same
 distance, so a window can only be repeated if its anchor's gram is. The lengths grow in turn:
 
