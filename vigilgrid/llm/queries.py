@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilgrid.llm import bpe, exact, html, jaccard, licenses, middle, mil, packing, quality, secrets, suffixes
+from vigilgrid.llm import bpe, exact, html, jaccard, licenses, middle, mil, packing, phrases, quality, secrets, suffixes
 from vigilgrid.llm.registry import QUERIES, SQL, query, table
 
 
@@ -86,3 +86,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = middle.transformed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return rows.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(middle.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query(phrases.sql("documents"))
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -84,12 +84,13 @@ def _marks(raw: np.ndarray) -> np.ndarray:
     return marks
 
 
-def words_of(column: pa.Array, bare: bool = False) -> Words:
-    """``bare`` words are hashed without the marks at their edges; words of marks alone are left out."""
+def words_of(column: pa.Array, bare: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """``bare`` words are hashed without the marks at their edges; words of marks alone are left out.
+    ``space`` tells for every byte value whether it parts words."""
     raw, offsets = text_bytes(column)
     n = len(raw)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~space[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
