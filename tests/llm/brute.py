@@ -14,7 +14,7 @@ def shingle_set(text, width=5):
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, percent=75):
     """{id: (set size, smallest id reachable)} of (id, text) rows with distinct ids."""
     sets = {i: shingle_set(t) for i, t in rows}
     root = {i: i for i in sets}
@@ -31,7 +31,7 @@ def jaccard_components(rows):
     pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
     for a, b in pairs:
         common = len(sets[a] & sets[b])
-        if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
             ra, rb = find(a), find(b)
             root[max(ra, rb)] = min(ra, rb)
     return {i: (len(s), find(i)) for i, s in sets.items()}

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tests.conftest import SF
 from tests.llm.brute import jaccard_components, repeated_bytes
 from tools.check import compare, connect
-from vigilgrid.llm import bpe, exact, html, jaccard, licenses, mil, packing, quality, queries, secrets, suffixes
+from vigilgrid.llm import bpe, exact, html, jaccard, licenses, links, mil, packing, quality, queries, secrets, suffixes
 from vigilgrid.llm.registry import QUERIES, SQL
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -105,9 +105,9 @@ def test_full_filter_still_finds_every_copy(spark, monkeypatch):
     assert exact.marked(frame(spark, rows)).where("_dedup.group_size = 2").count() == 1400
 
 
-@pytest.mark.parametrize("few", [0, 2])
-def test_jaccard_components(spark, awkward, monkeypatch, few):
-    monkeypatch.setattr(jaccard, "FEW", few)
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_jaccard_components(spark, awkward, monkeypatch, rounds):
+    monkeypatch.setattr(links, "ROUNDS", rounds)
     rng = random.Random(5)
     rows = [(i, t) for i, t in awkward if i is not None]
     for g in range(4):

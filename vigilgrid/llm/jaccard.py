@@ -2,14 +2,13 @@
 
 Two sets of Jaccard similarity t or more share a token in their prefixes under any global order of
 tokens: of n tokens the first n - ceil(t n) + 1. The join counts in how many sets each token occurs
-and orders tokens by that count; two further orders are hashes, rare tokens still first. A pair is
-compared exactly only if its prefixes meet under all three orders.
-
-Sets that occur once only among their tokens drop out first: a set can have a partner only if
-ceil(t n) of its tokens occur in other sets. Equal sets are one set with several documents. Groups
-of near copies are not expanded into pairs: in each round every set meets a few pivots of its prefix
-tokens, what links is one component, and tokens whose sets are all in one component need no more
-pairs. Once rounds take few pairs away, those still between components are compared, all of them.
+and orders tokens by that count; two further orders are hashes. A pair is compared exactly only if
+its prefixes meet under all three orders.
+
+Sets without a partner drop out first, under a hash order: similar sets share at least ceil(e n) of
+their first n - ceil(t n) + ceil(e n) tokens there, so only those tokens of every set are exchanged,
+and a set stays if enough of its own occur in others. Equal sets are one set with several documents.
+Groups of near copies are not expanded into pairs (``links``).
 """
 
 from __future__ import annotations
@@ -20,24 +19,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilgrid.llm import links
 from vigilgrid.llm.words import distinct_by_row, mixed, shingles, slices, words_of
-from vigilgrid.operators.graph import connected_components
 from vigilgrid.session import cut_lineage
 
 WIDTH, PERCENT = 5, 75
-#: Token occurrences a task gathers before it hands them on, and those one merging task meets.
-GATHERED, MERGED = 4_000_000, 2_000_000
-#: Pairs for each prefix row below which the pairs left are compared at once.
-FEW = 2
-#: Pivots of a token in one round, and pivots that a set meets in it.
-PIVOTS = 8
-#: A round has to take this share of the open pairs away to be worth another one.
-WORTH = 0.1
+#: Shared tokens, as a percentage of a set, that its part sent out under the hash order has to show.
+SHOWN = 15
+#: Token occurrences a task gathers before it hands them on; hash ranges at least, and occurrences of one beyond them.
+GATHERED, RANGES, MERGED = 4_000_000, 64, 8_000_000
 
 
-def least_overlap(n: Column) -> Column:
+def least_overlap(n: Column, percent: int = PERCENT) -> Column:
     """ceil(t n) in whole numbers."""
-    return F.floor((n * PERCENT + 99) / 100).cast("int")
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
+def _shown(n: np.ndarray) -> np.ndarray:
+    """How many tokens of a set of n, by hash, are sent out."""
+    return n - (n * PERCENT + 99) // 100 + (n * SHOWN + 99) // 100
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,11 +52,11 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         _, _, n, prints = _sets(batch.column("text"))
-        yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(prints.view(np.int64))], ["id", "n", "set"])
+        yield pa.record_batch([batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(prints.view(np.int64))], ["id", "hash", "n", "set"])
 
 
 def _blocks(parts: int):
-    """Tokens of a task's sets, by hash range: sorted tokens and the set of each. A token met in two of
+    """Tokens sent out of a task's sets, by hash range: sorted tokens and the set of each. A token met in two of
     the task's sets is repeated for certain, so one occurrence stands for all, and its sets are told."""
     def emit(tokens: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((sets, tokens))
@@ -83,9 +83,11 @@ def _blocks(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches, "text"):
-            tokens, rows, _, prints = _sets(batch.column("text"))
-            held.append((tokens, prints[rows]))
-            size += len(tokens)
+            tokens, rows, n, prints = _sets(batch.column("text"))
+            place = np.arange(len(tokens)) - (np.cumsum(n) - n)[rows]
+            first = place < _shown(n)[rows]
+            held.append((tokens[first], prints[rows[first]]))
+            size += len(held[-1][0])
             if size >= GATHERED:
                 yield from emit(*(np.concatenate(x) for x in zip(*held)))
                 held, size = [], 0
@@ -104,7 +106,7 @@ def _block(part: int, *fields: bytes) -> pa.RecordBatch:
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many tokens of each set occur in another set, from the blocks of a hash range, in order."""
+    """How many tokens of each set were sent out by another set too, from the blocks of hash ranges, in order."""
     def count(blocks: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
         tokens, sets, sure = [], [], []
         for t, own, place, several in blocks:
@@ -144,157 +146,109 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from count(blocks)
 
 
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def member_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``set, n, bits, tokens`` of every text."""
     for batch in slices(batches, "text"):
         tokens, _, n, prints = _sets(batch.column("text"))
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(n, pa.int64()),
-                               pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))], ["set", "n", "tokens"])
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        bits = links.parities(tokens, n)
+        yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(n, pa.int64()), lists(np.arange(len(n) + 1) * links.WORDS, bits.ravel()),
+                               lists(np.concatenate([[0], np.cumsum(n)]), tokens.view(np.int64))], ["set", "n", "bits", "tokens"])
+
+
+def members(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The tokens of the sets ``wanted(set, hash)``, each from the texts with that hash."""
+    texts = rows.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text")
+    found = texts.mapInArrow(member_rows, "set bigint, n bigint, bits array<bigint>, tokens array<bigint>")
+    return cut_lineage(found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(
+        *(F.first(c).alias(c) for c in ("n", "bits", "tokens"))))
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, hash`` of every row."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, hash, n, set, component, component_id`` of every row; ``hash`` is its text's."""
+    rows = text_rows(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    summary = cut_lineage(rows.mapInArrow(_summaries, f"id {kind}, hash bigint, n bigint, set bigint"))
+    return links.named(summary, _components(rows, summary))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every row.
 
     A component is named by its smallest id. A text without words links with nothing, null counts as
-    empty; rows with a null id have a component of their own text's ids, null if there is none.
-    Rows that repeat an id and a text repeat its result. No rows give no rows.
+    empty; rows with a null id link as others do and have the smallest id of their component, null if
+    it has none. Rows that repeat an id and a text repeat its result. No rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    summary = cut_lineage(rows.mapInArrow(_summaries, f"id {kind}, n bigint, set bigint"))
-    sets = summary.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    links = components(rows, summary)
-    named = links.join(sets.select("set", "least"), "set")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    renamed = named.join(smallest, "component").select("set", "component_id")
-    # Sets without a link take the smallest id of their own copies.
-    result = sets.join(renamed, "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id"))
-    return summary.join(result, "set", "left").select("id", F.col("n").alias("n_shingles"), F.when(
-        F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-
-
-def components(rows: DataFrame, summary: DataFrame) -> DataFrame:
-    """``set, component`` of the sets that may have partners; ``rows(id, text)``, ``summary(id, n, set)``."""
+    return grouped(docs, id_col, text_col).select("id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """``set, component`` of the sets that may have partners."""
     total = summary.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(total) // MERGED))
+    parts = max(RANGES, -(-int(total) // MERGED))
     blocks = rows.select("text").mapInArrow(_blocks(parts), _BLOCK)
     found = (blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "set bigint, found bigint")
              .groupBy("set").agg(F.sum("found").alias("found")))
-    least = summary.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    hopeful = cut_lineage(found.join(least, "set").where(F.col("found") >= least_overlap(F.col("n"))).select("set", "id", "n"))
-    # One row of each hopeful set brings its tokens.
-    texts = rows.join(hopeful.where("id IS NOT NULL").select("id").distinct(), "id", "left_semi").select("text")
-    members = cut_lineage(texts.mapInArrow(_members, "set bigint, n bigint, tokens array<bigint>")
-                          .join(hopeful.select("set"), "set", "left_semi").groupBy("set").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    return _joined(_prefixed(members))
+    sizes = summary.where("n > 0").groupBy("set").agg(F.min("hash").alias("hash"), F.max("n").alias("n"))
+    # The partner is no smaller than ceil(t n), and the smaller set decides how many shared tokens show.
+    shown = F.floor((least_overlap(F.col("n")) * SHOWN + 99) / 100)
+    hopeful = cut_lineage(found.join(sizes, "set").where(F.col("found") >= shown).select("set", "hash"))
+    return _joined(_prefixed(members(rows, hopeful)))
 
 
-def _prefixed(members: DataFrame) -> DataFrame:
-    """``set, n, tokens, p1, p2, p3``: tokens met in several sets and the prefix under each order.
+def _prefixed(sets: DataFrame) -> DataFrame:
+    """``set, n, bits, tokens, p1, p2, p3``: tokens met in several sets and the prefix under each order.
 
     Tokens of one set come first under every order, so they only shorten the prefix.
     """
-    each = members.select("set", "n", F.explode("tokens").alias("token"))
+    each = sets.select("set", F.explode("tokens").alias("token"))
     often = each.groupBy("token").count().where("count > 1")
-    shared = each.join(often, "token").groupBy("set", "n").agg(F.collect_list(F.struct("count", "token")).alias("t"))
-    shared = shared.select("set", "n", "t", (F.size("t") - least_overlap(F.col("n")) + 1).alias("k")).where("k > 0")
+    shared = each.join(often, "token").groupBy("set").agg(F.collect_list(F.struct("count", "token")).alias("t"))
+    shared = shared.join(sets.drop("tokens"), "set").withColumn("k", F.size("t") - least_overlap(F.col("n")) + 1).where("k > 0")
     by_hash = [F.expr(f"slice(array_sort(transform(t, x -> named_struct('h', xxhash64(x.token, {seed}), 'token', x.token))).token, 1, k)")
                .alias(f"p{seed}") for seed in (2, 3)]
-    return cut_lineage(shared.select("set", "n", F.col("t.token").alias("tokens"), F.expr("slice(array_sort(t).token, 1, k)").alias("p1"), *by_hash))
+    return cut_lineage(shared.select("set", "n", "bits", F.col("t.token").alias("tokens"), F.expr("slice(array_sort(t).token, 1, k)").alias("p1"), *by_hash))
 
 
 def _joined(sets: DataFrame) -> DataFrame:
-    """``set, component`` after all links. Labels between rounds may lag behind the links found so far:
-    that costs pairs compared needlessly and loses none."""
-    prefixes = cut_lineage(sets.select("set", "n", F.explode("p1").alias("token")))
-    label = sets.select("set", F.col("set").alias("component"))
-    links, turn, before = [], 0, float("inf")
-    while True:
-        now = cut_lineage(prefixes.join(label, "set"))
-        rows, pairs = _open_pairs(now)
-        if not pairs:
-            break
-        if pairs <= FEW * rows or pairs > (1 - WORTH) * before:
-            links.append(cut_lineage(_verified(_all_pairs(now), sets)))
-            break
-        links.append(cut_lineage(_verified(_pivots(now, turn), sets)))
-        label = _followed(label, links[-1])
-        turn, before = turn + 1, pairs
-    if not links:
-        return label
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    nodes = sets.select(F.col("set").alias("node"))
-    return connected_components(nodes, every.select(F.col("set").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "set")
-
-
-def _open_pairs(now: DataFrame) -> tuple[int, float]:
-    """Prefix rows, and pairs of them that share a token across components."""
-    sizes = now.groupBy("token", "component").count().groupBy("token").agg(
-        F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count").cast("double")).alias("q"))
-    found = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s").cast("double") - F.col("q")) / 2)).first()
-    return found[0] or 0, found[1] or 0
-
-
-def _pivots(now: DataFrame, turn: int) -> DataFrame:
-    """``PIVOTS`` pairs for each set: itself and the pivots that most of its prefix tokens name."""
-    row = F.struct("set", "n", "component")
-    drawn = now.groupBy("token").agg(F.array(*(
-        F.min_by(row, F.xxhash64("set", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS))).alias("drawn"))
-    met = now.join(drawn, "token").select("set", "n", "component", F.explode(F.array_distinct("drawn")).alias("p"))
-    return (met.where("component <> p.component").where(_near("n", "p.n"))
-            .groupBy("set", F.col("p.set").alias("other")).count()
-            .groupBy("set").agg(F.collect_list(F.struct("count", "other")).alias("met"))
-            .select("set", F.explode(F.slice(F.sort_array("met", asc=False), 1, PIVOTS)["other"]).alias("other")))
-
-
-def _all_pairs(now: DataFrame) -> DataFrame:
-    """Every pair that shares a prefix token across components; a token's largest component meets the
-    others only, never itself."""
-    most = (now.groupBy("token", "component").count().groupBy("token")
-            .agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1"))
-    minor = now.join(most, "token").where("component <> most").select(
-        "token", F.col("set").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "most")
-    return minor.join(now, "token").where("ca <> component AND (component = most OR a < set)").where(_near("na", "n")).select(
-        F.col("a").alias("set"), F.col("set").alias("other")).distinct()
-
-
-def _followed(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after every component goes to the least component it is linked with, and twice on."""
-    a = label.select("set", F.col("component").alias("a"))
-    b = label.select(F.col("set").alias("other"), F.col("component").alias("b"))
-    edges = links.join(a, "set").join(b, "other").where("a <> b")
-    least = cut_lineage(edges.groupBy(F.greatest("a", "b").alias("component")).agg(F.min(F.least("a", "b")).alias("onward")))
-    for _ in range(2):
-        label = label.join(least, "component", "left").select("set", F.coalesce("onward", "component").alias("component"))
-    return cut_lineage(label)
-
-
-def _near(a: str, b: str) -> Column:
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``(set, other)`` that are similar: filtered by two more prefixes, then compared exactly.
-
-    Prefixes travel as 32-bit hashes, which can only let a pair pass; whole sets travel for pairs that pass.
-    """
+    """``set, component`` after all links."""
+    prefix = F.posexplode("p1").alias("place", "key")
+    keys = sets.select("set", "n", F.size("tokens").alias("t"), prefix).select(
+        "set", "key", "n", (F.col("t") - F.col("place")).cast("bigint").alias("rem"))
+    return links.components(links.crowded(keys, PERCENT), sets, PERCENT, _orders_meet)
+
+
+def _orders_meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose prefixes meet under the two further orders as well. Prefixes travel as 32-bit
+    hashes, which can only let a pair pass."""
     short = sets.select("set", *(F.expr(f"transform({p}, x -> hash(x))").alias(p) for p in ("p2", "p3")))
-    met = pairs.join(short, "set").join(short.toDF("other", "q2", "q3"), "other").where(
-        F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("set", "other")
-    both = met.join(sets.select("set", "n", "tokens"), "set").join(
-        sets.select(F.col("set").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("u")), "other")
-    same = F.size(F.array_intersect("tokens", "u"))
-    return both.where(100 * same >= PERCENT * (F.col("n") + F.col("m") - same)).select("set", "other")
+    met = pairs.join(short, "set").join(short.toDF("other", "q2", "q3"), "other")
+    return met.where(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("set", "other")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the row with its smallest id, once.
-
-    Rows without words or id link with nothing and stay.
-    """
-    names = linked(docs, id_col, text_col)
-    # Rows that go: their id is not their component's.
-    gone = names.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone._gone, "left_anti")
+    """Rows of ``docs`` that stay: one of each component, with its smallest id (null ids last; of
+    several texts with that id the one with the least hash). Rows without words all stay."""
+    rows = grouped(docs, id_col, text_col).where("n > 0")
+    first = cut_lineage(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("c")))
+    named = rows.join(first, "component").select("id", "hash", (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("hash") == F.col("c.hash"))).alias("stays"))
+    each = cut_lineage(named.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("c")).where("NOT stays OR c > 1"))
+    text = F.xxhash64(docs[f"`{text_col}`"])
+
+    def like(found: DataFrame) -> Column:
+        return docs[f"`{id_col}`"].eqNullSafe(found["_id"]) & (text == found["_hash"])
+
+    gone = each.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    alone = docs.join(gone, like(gone), "left_anti")
+    repeated = each.where("stays").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    if repeated.isEmpty():
+        return alone
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    once = docs.join(repeated, like(repeated)).select("_id", "_hash", row).groupBy("_id", "_hash").agg(F.first("row").alias("row"))
+    return alone.unionByName(once.select("row.*"))
