@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilgrid.llm import bpe, exact, html, jaccard, licenses, middle, mil, packing, phrases, quality, secrets, suffixes
+from vigilgrid.llm import bpe, exact, html, jaccard, licenses, middle, mil, minhash, packing, phrases, quality, secrets, suffixes
 from vigilgrid.llm.registry import QUERIES, SQL, query, table
 
 
