@@ -33,11 +33,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n of the base, or of its inverse, modulo 2**64."""
-    out = np.full(n + 1, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers(n: int, inverse: bool = False, known: dict[bool, np.ndarray] = {}) -> np.ndarray:
+    """Powers 0..n of the base, or of its inverse, modulo 2**64; kept up to the size of a slice."""
+    if len(known.get(inverse, ())) <= n:
+        out = np.full(max(n, min(2 * n, SLICE_BYTES)) + 1, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > SLICE_BYTES:
+            return out[:n + 1]
+        known[inverse] = out
+    return known[inverse][:n + 1]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
