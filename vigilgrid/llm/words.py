@@ -36,7 +36,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(n: int, inverse: bool = False, known: dict[bool, np.ndarray] = {}) -> np.ndarray:
     """Powers 0..n of the base, or of its inverse, modulo 2**64; kept up to the size of a slice."""
     if len(known.get(inverse, ())) <= n:
-        out = np.full(max(n, min(2 * n, SLICE_BYTES)) + 1, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        out = np.full(max(n, SLICE_BYTES // 2) + 1, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
         out[0] = 1
         out = np.multiply.accumulate(out)
         if n > SLICE_BYTES:
@@ -54,15 +54,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows of about ``SLICE_BYTES`` of text; a longer text stands alone."""
+def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of about ``size`` bytes of text; a longer text stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, at = text_bytes(batch.column(text))
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
 
