@@ -15,7 +15,6 @@ symmetric difference.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,10 +53,6 @@ def _bits_fit(n: str, m: str, a: str, b: str, percent: int) -> Column:
     return apart <= F.col(n) + F.col(m) - 2 * least_shared(n, m, percent)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def crowded(keys: DataFrame, percent: int) -> DataFrame:
     """``keys(set, key, n, rem)`` without the rows that meet no other set: the smaller set of a pair
     needs a key from which on twice its size allows the overlap."""
@@ -69,20 +64,25 @@ def crowded(keys: DataFrame, percent: int) -> DataFrame:
 def components(keys: DataFrame, sets: DataFrame, percent: int, further: Callable[[DataFrame, DataFrame], DataFrame] = lambda pairs, sets: pairs) -> DataFrame:
     """``set, component`` of all ``sets(set, n, bits, tokens)``; ``keys(set, key, n, rem)`` as ``crowded``
     returns them; ``further`` takes pairs away that cannot link, before whole sets are compared."""
-    label, links = sets.select("set", F.col("set").alias("component")), []
+    label = sets.select("set", F.col("set").alias("component"))
     now = keys.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
-        met = _met(now, turn, percent)
-        links.append(cut_lineage(_verified(further(_bounded(met, sets, percent), sets), sets, percent)))
-        label = _followed(label, links[-1])
+        met = _bounded(_met(now, turn, percent), sets, percent)
+        label = _joined(label, cut_lineage(_verified(further(met, sets), sets, percent)))
         now = cut_lineage(_open(keys.join(label, "set")))
         if now.isEmpty():
-            break
-    else:
-        links.append(cut_lineage(_verified(further(_between(now, sets, percent), sets), sets, percent)))
-    nodes = sets.select(F.col("set").alias("node"))
-    edges = _union(links).select(F.col("set").alias("a"), F.col("other").alias("b"))
-    return connected_components(nodes, edges).withColumnRenamed("node", "set")
+            return label
+    return _joined(label, cut_lineage(_verified(further(_between(now, sets, percent), sets), sets, percent)))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after everything that links connect is one component."""
+    a = label.select("set", F.col("component").alias("a"))
+    b = label.select(F.col("set").alias("other"), F.col("component").alias("b"))
+    edges = cut_lineage(links.join(a, "set").join(b, "other").where("a <> b").select("a", "b").distinct())
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    onward = connected_components(ends, edges).toDF("component", "onward")
+    return cut_lineage(label.join(onward, "component", "left").select("set", F.coalesce("onward", "component").alias("component")))
 
 
 def _open(now: DataFrame) -> DataFrame:
@@ -125,17 +125,6 @@ def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("a").alias("set"), F.col("set").alias("other")).distinct()
 
 
-def _followed(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after every component goes to the least component it is linked with, and twice on."""
-    a = label.select("set", F.col("component").alias("a"))
-    b = label.select(F.col("set").alias("other"), F.col("component").alias("b"))
-    edges = links.join(a, "set").join(b, "other").where("a <> b")
-    least = cut_lineage(edges.groupBy(F.greatest("a", "b").alias("component")).agg(F.min(F.least("a", "b")).alias("onward")))
-    for _ in range(2):
-        label = label.join(least, "component", "left").select("set", F.coalesce("onward", "component").alias("component"))
-    return cut_lineage(label)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar; ``tokens`` may leave out those that no other set has."""
     both = pairs.join(sets.select("set", "n", "tokens"), "set").join(
