@@ -28,6 +28,8 @@ WIDTH, PERCENT = 5, 75
 SHOWN = 15
 #: Token occurrences a task gathers before it hands them on; hash ranges at least, and occurrences of one beyond them.
 GATHERED, RANGES, MERGED = 4_000_000, 64, 8_000_000
+#: Text hashes that are broadcast at most, 16 bytes each.
+SENT = 1_000_000
 
 
 def least_overlap(n: Column, percent: int = PERCENT) -> Column:
@@ -158,7 +160,9 @@ def member_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def members(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The tokens of the sets ``wanted(set, hash)``, each from the texts with that hash."""
-    texts = rows.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text")
+    hashes = wanted.select("hash").distinct()
+    # Few hashes go to the texts; beyond that bound both are shuffled.
+    texts = rows.join(F.broadcast(hashes) if hashes.count() <= SENT else hashes, "hash", "left_semi").select("text")
     found = texts.mapInArrow(member_rows, "set bigint, n bigint, bits array<bigint>, tokens array<bigint>")
     return cut_lineage(found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(
         *(F.first(c).alias(c) for c in ("n", "bits", "tokens"))))

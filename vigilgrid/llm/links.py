@@ -69,7 +69,7 @@ def components(keys: DataFrame, sets: DataFrame, percent: int, further: Callable
     for turn in range(ROUNDS):
         met = _bounded(_met(now, turn, percent), sets, percent)
         label = _joined(label, cut_lineage(_verified(further(met, sets), sets, percent)))
-        now = cut_lineage(_open(keys.join(label, "set")))
+        now = cut_lineage(_open(now.drop("component").join(label, "set")))
         if now.isEmpty():
             return label
     return _joined(label, cut_lineage(_verified(further(_between(now, sets, percent), sets), sets, percent)))
