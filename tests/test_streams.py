@@ -5,13 +5,10 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from vigilgrid.catalog import load
-from vigilgrid.catalog.alerting import HOUR, frames
-from vigilgrid.catalog.registry import Inputs
 from vigilgrid.plans import alerts as A
-from vigilgrid.streaming import rollups as R, sources as S, stateful as T
+from vigilgrid.streaming import chains as C, rollups as R, sources as S, stateful as T
 
 START = 1_700_000_000_000  # the first watermark is the epoch, so rows at it would be late
 SCHEMA = "camera_id string, zone_id string, ts_ms bigint, ts timestamp"
@@ -79,19 +76,58 @@ def test_rows_later_than_the_watermark_fail_a_drain(spark, tmp_path):
         R.run(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
 
 
-def test_live_crowds_equal_the_batch_rule_on_means(spark):
-    sf_dir = "/root/testdata/sf0.01"  # the smallest scale holds no crowd
-    t = Inputs(spark, sf_dir)
-    closed = t.points.agg(F.max("ts_ms")).first()[0] - 2 * HOUR
-    batch = A.crowd(frames(t), {"density_threshold": 15.0, "count_threshold": 3}).where(F.col("ts_ms") + 6 * HOUR <= closed)
+WIDTH, WINDOW = 60_000, 5 * 60_000
 
-    def shown(alerts):
-        found = {}
-        for r in alerts.collect():
-            m = json.loads(r.metadata)
-            key = r.camera_id, r.event_type, r.ts_ms, m["people_count"], tuple(sorted(m["track_ids"])), *(round(x, 6) for x in m["centroid"] + m["bounding_box"])
-            found[key] = found.get(key, 0) + 1
-        return found
 
-    want = shown(batch)
-    assert want and shown(load()["live_crowds"].run(spark, sf_dir)) == want
+@pytest.fixture(scope="module")
+def scene(spark):
+    """People and bags of two cameras over 160 moments, two rows a moment: camera, track, class, time, place."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for camera in (1, 2):
+        place = rng.uniform(0, 260, (14, 2))
+        for m in range(160):
+            place[:10] += rng.normal(0, 14, (10, 2))
+            place[10:] += rng.normal(0, 6 if m % 40 < 3 else 0.4, (4, 2))
+            for track in range(14):
+                if rng.random() < 0.9:
+                    for part in (5_000, 35_000):
+                        x, y = place[track] + rng.normal(0, 0.3, 2)
+                        rows.append((camera, track, 0 if track < 10 else (26, 30, 32, 2)[track - 10], START + m * WIDTH + part, float(x), float(y)))
+    return spark.createDataFrame(rows, "camera_id bigint, track_id bigint, class_id int, ts_ms bigint, cx double, cy double")
+
+
+RULES = {"acceleration_threshold": 12.0, "density_threshold": 60.0, "count_threshold": 3, "proximity_threshold": 60.0, "abandoned_time_threshold_ms": 4 * WIDTH}
+
+
+def found(alerts, until):
+    """Alerts of closed moments, numbers of their metadata rounded."""
+    def plain(v):
+        return round(v, 6) if isinstance(v, float) else [plain(x) for x in v] if isinstance(v, list) else v
+
+    rows = alerts.where(F.col("ts_ms") + WIDTH <= until).collect()
+    return sorted((r.camera_id, r.event_type, r.severity, r.ts_ms, str(r.zone_id), str(sorted((k, str(plain(v))) for k, v in json.loads(r.metadata).items()))) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["fight", "crowd", "abandoned"])
+def test_chains_equal_the_batch_rules_on_shuffled_files(spark, scene, tmp_path, name):
+    # 24 files, rows up to ten minutes from their place; six files a micro-batch, so memories outlive batches.
+    mixed = scene.withColumn("ts", F.timestamp_millis("ts_ms")).withColumn("part", F.ntile(24).over(Window.orderBy(
+        F.col("ts_ms") + F.pmod(F.xxhash64("camera_id", "track_id", "ts_ms"), F.lit(600_000)))))
+    for part in range(1, 25):
+        path = tmp_path / "in" / f"f={part}"
+        mixed.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(str(path))
+        for f in path.glob("*.parquet"):
+            os.utime(f, (1_000_000 + part, 1_000_000 + part))
+    points = S.file_stream(spark, str(tmp_path / "in"), "camera_id bigint, track_id bigint, class_id int, ts_ms bigint, cx double, cy double, ts timestamp", 6)
+    lateness = "30 minutes"
+    chain = {"fight": lambda: C.fights(points, RULES, WIDTH, 20.0, WINDOW, lateness=lateness),
+             "crowd": lambda: C.crowds(points, RULES, WIDTH, 640, 480, WINDOW, lateness=lateness),
+             "abandoned": lambda: C.abandoned(points, RULES, WIDTH, 20.0, WINDOW, lateness=lateness)}[name]()
+    R.run(chain, str(tmp_path / "out"), str(tmp_path / "cp"))
+    until = scene.agg(F.max("ts_ms")).first()[0] - 30 * 60_000
+    means = scene.groupBy("camera_id", "track_id", "class_id", (F.floor(F.col("ts_ms") / WIDTH) * WIDTH).cast("long").alias("ts_ms")).agg(F.avg("cx").alias("x"), F.avg("cy").alias("y"))
+    boxes = means.select("camera_id", "track_id", "class_id", "ts_ms", (F.col("x") - 20).alias("x1"), (F.col("y") - 20).alias("y1"), (F.col("x") + 20).alias("x2"), (F.col("y") + 20).alias("y2"))
+    batch = A.crowd(boxes, RULES, 640, 480, WINDOW) if name == "crowd" else A.suppress(A.DETECTORS[name](boxes, RULES), WINDOW)
+    want = found(batch, until)
+    assert len(want) > 5 and found(spark.read.schema(chain.schema).parquet(str(tmp_path / "out")), until) == want

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from vigilgrid.catalog.alerting import DAY, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
+from vigilgrid.catalog.alerting import ABANDON, CROWD, DAY, FIGHT, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
 from vigilgrid.catalog.shapes import SKETCH
 from vigilgrid.plans import alerts as A
 from vigilgrid.session import scratch_path
 from vigilgrid.sources.standin import VIEWS
-from vigilgrid.streaming import rollups as R, sources as S, stateful as T
+from vigilgrid.streaming import chains as C, rollups as R, sources as S, stateful as T
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -110,23 +110,29 @@ def live_wrong_direction(t):
     return _rules(t, {"detect": ["wrong_direction"]})
 
 
-@query("T6")
+#: Alerts of moments that the last watermark has passed.
+CLOSED = f"{KEPT} AND ts_ms + {6 * HOUR} <= (SELECT max(ts_ms) FROM points) - {2 * HOUR}"
+
+
+def _alerts(t, chain):
+    """Alerts as the batch queries show them, and their metadata."""
+    return _drained(t, chain).select("camera_id", F.coalesce("zone_id", F.lit("")).alias("zone_id"), "ts_ms")
+
+
+@query("T6 J14", "points", CLOSED, suppressed_sql(ABANDON.replace("sx < 60 AND sy < 30", "sx < 40 AND sy < 40"), 12 * HOUR))
 def live_abandoned(t):
-    moment = F.floor(F.col("ts_ms") / (6 * HOUR)) * (6 * HOUR)
-    rows = _points(t).withColumn("ts_ms", moment.cast("long"))
-    return _drained(t, T.abandoned_bags(rows, {"proximity_threshold": 25.0, "stationary_std_threshold": 40.0, "abandoned_time_threshold_ms": 6 * HOUR}, 10 * DAY))
+    rules = {"proximity_threshold": 25.0, "stationary_std_threshold": 40.0, "abandoned_time_threshold_ms": 6 * HOUR}
+    return _alerts(t, C.abandoned(_points(t), rules, 6 * HOUR, 20.0, 12 * HOUR, 40 * DAY))
 
 
-@query("T5 T7")
+@query("T5 G10 A26", "points", CLOSED, suppressed_sql(CROWD, 12 * HOUR))
 def live_crowds(t):
-    out = scratch_path(t.spark, "crowds")
-    # A moment's means are final once the watermark passes its end; all its tracks then come in one micro-batch.
-    means = _points(t).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "2 hours").groupBy(
-        F.window("ts", "6 hours"), "camera_id", "track_id", "class_id").agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"))
-    rows = means.select("camera_id", "track_id", "class_id", F.unix_millis("window.start").alias("ts_ms"),
-                        (F.col("cx") - 20).alias("x1"), (F.col("cy") - 20).alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
-    R.drained(T.per_batch_alerts(rows, "crowd", {"density_threshold": 15.0, "count_threshold": 3}, f"{out}/data", f"{out}/checkpoint"))
-    return t.spark.read.parquet(f"{out}/data").drop("batch")
+    return _alerts(t, C.crowds(_points(t), {"density_threshold": 15.0, "count_threshold": 3}, 6 * HOUR, 640, 480, 12 * HOUR))
+
+
+@query("T7 J16 W3", "points", CLOSED, suppressed_sql(FIGHT, 12 * HOUR))
+def live_fights(t):
+    return _alerts(t, C.fights(_points(t), {}, 6 * HOUR, 20.0, 12 * HOUR, 40 * DAY))
 
 
 @query("T8 W14", "points", """SELECT s.camera_id, s.track_id, s.ts_ms, s.state, s.life_start AS born_ms FROM rec s""", ctes="""o AS (SELECT camera_id, track_id, ts_ms,

@@ -201,46 +201,6 @@ def lockouts(failures: DataFrame, burst: int = 5, within_ms: int = 600_000, paus
     return stateful(failures, ["user_id"], "locked_ms bigint", step, within_ms + pause_ms, lateness=lateness)
 
 
-def abandoned_bags(frames: DataFrame, rules: dict, ttl_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
-    """Candidates for bags left alone, keyed by camera; rows need track_id, class_id, cx, cy.
-
-    The memory per bag is its last ten centres and the time it was left alone.
-    """
-    from vigilgrid.plans.alerts import BAGS, PERSON
-
-    radius, still = rules.get("proximity_threshold", 120.0), rules.get("stationary_std_threshold", 4.0)
-    limit = rules.get("abandoned_time_threshold_ms", 30_000)
-
-    def step(key, rows, memory):
-        found = []
-        for ts, frame in rows.groupby("ts_ms", sort=True):
-            people = frame.loc[frame["class_id"] == PERSON, ["cx", "cy"]].to_numpy()
-            for bag in frame[frame["class_id"].isin(list(BAGS))].itertuples():
-                m = memory.setdefault(str(bag.track_id), {"path": []})
-                m["path"] = (m["path"] + [(float(bag.cx), float(bag.cy))])[-10:]
-                steady = len(m["path"]) >= 3 and bool((np.std(m["path"], axis=0) < still).all())
-                near = len(people) > 0 and bool((np.hypot(people[:, 0] - bag.cx, people[:, 1] - bag.cy) <= radius).any())
-                if not steady or near:
-                    m.pop("alone", None)
-                elif int(ts) - m.setdefault("alone", int(ts)) >= limit:
-                    found.append((int(bag.track_id), int(ts)))
-        return found
-
-    return stateful(frames, ["camera_id"], "track_id bigint, ts_ms bigint", step, ttl_ms, lateness=lateness)
-
-
-def per_batch_alerts(tracks: DataFrame, name: str, rules: dict, folder: str, checkpoint: str):
-    """Frame-local rules (crowds) on each micro-batch, written to ``batch=N`` folders."""
-    from vigilgrid.plans import alerts as A
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        found = A.crowd(batch, rules) if name == "crowd" else A.suppress(A.DETECTORS[name](batch, rules)).drop("order")
-        found.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    return (tracks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-            .trigger(availableNow=True).start())
-
-
 def _ring(vertices):
     ring = [(float(x), float(y)) for x, y in vertices]
     return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
