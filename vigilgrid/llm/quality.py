@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Frequent function words of the corpus languages; met in lower case or with a capital.
+#: Frequent function words of the corpus languages (English, French, Spanish, German); met in lower
+#: case or with a capital. Texts of other languages fail the stop-word rule: give them rules without it.
 STOP_WORDS = ("a an and are as at be by for from in is it of on or that the this to was with "
               "au des du elle en est et la le les pas pour que qui un une "
               "al con de del el las los no por se su y "
@@ -35,7 +36,7 @@ RULES = (
     Rule("exclamations by word", "n_exclaims", "n_words", None, 30),
     Rule("capitals by letter", "n_capitals", "word_chars", None, 50),
     Rule("stop words by word", "n_stop_words", "n_words", 2, None),
-    Rule("repeated lines by line", "n_dup_lines", "n_lines", None, 30),
+    Rule("repeated lines by word", "n_dup_line_words", "n_words", None, 30),
 )
 #: Fewest words, and the highest percentage of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -91,7 +92,9 @@ def measured(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
         # A repeated window adds three words, or as many as lie behind the window before it.
         long("aggregate(starts, named_struct('last', -3, 'n', 0), (a, p) -> named_struct('last', p, "
              "'n', a.n + least(3, p - a.last)), a -> a.n)").alias("n_repeat_words"),
-        long("size(lines)").alias("n_lines"),
+        # Words of lines met before: all words less those of the distinct lines.
+        long("IF(size(array_distinct(lines)) = size(lines), 0, "
+             "n - size(array_remove(split(array_join(array_distinct(lines), '\n'), '[ \\t-\\r]+'), '')))").alias("n_dup_line_words"),
         _count("[^!]+").alias("n_exclaims"),
         _count("[^A-Z]+").alias("n_capitals"),
         long(f"size(filter(w, x -> x IN ({stops})))").alias("n_stop_words"))
@@ -135,21 +138,21 @@ def sql(relation: str, text: str = "text", rules: tuple[Rule, ...] = RULES, colu
         + [f"100 * {r.part} <= {r.high} * {r.whole}" for r in rules if r.high is not None])
     failed = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)"
     return f"""
-SELECT {columns}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
-       NOT {failed} AND {conditions} AS kept
-FROM (
-  SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+WITH numbered AS MATERIALIZED (SELECT row_number() OVER () AS _r, {columns}, coalesce({text}, '') AS t FROM {relation}),
+split AS MATERIALIZED (SELECT *, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\t-\\r]')) AS lines FROM numbered),
+places AS (SELECT _r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM split),
+windows AS (SELECT _r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY _r ORDER BY i)),
+again AS (SELECT _r, i, count(*) OVER (PARTITION BY _r, a, b, c) AS c FROM windows WHERE c IS NOT NULL),
+gaps AS (SELECT _r, i - lag(i, 1, -9) OVER (PARTITION BY _r ORDER BY i) AS gap FROM again WHERE c > 1),
+repeats AS (SELECT _r, CAST(sum(least(3, gap)) AS BIGINT) AS n FROM gaps GROUP BY _r),
+counted AS (SELECT {columns}, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims,
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
-    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop_words,
-    CAST(coalesce((
-      WITH g AS (SELECT unnest(generate_series(1, len(w) - 2)) AS i),
-      k AS (SELECT i, [w[i], w[i + 1], w[i + 2]] AS s FROM g),
-      d AS (SELECT i, count(*) OVER (PARTITION BY s) AS c FROM k),
-      p AS (SELECT i, i - lag(i, 1, -9) OVER (ORDER BY i) AS gap FROM d WHERE c > 1)
-      SELECT sum(least(3, gap)) FROM p), 0) AS BIGINT) AS n_repeat_words
-  FROM (SELECT {columns}, t, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w,
-          list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\t-\\r]')) AS lines
-        FROM (SELECT {columns}, coalesce({text}, '') AS t FROM {relation})))"""
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(w) - len(list_filter(string_split_regex(array_to_string(list_distinct(lines), chr(10)), '[ \\t-\\r]+'), lambda x: x <> '')) AS n_dup_line_words,
+    len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop_words, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN repeats USING (_r))
+SELECT {columns}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND {conditions} AS kept
+FROM counted"""
