@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vigilgrid.catalog.alerting import ABANDON, CROWD, DAY, FIGHT, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
-from vigilgrid.catalog.shapes import SKETCH
+from vigilgrid.catalog.shapes import SKETCH, TRACKER, shown_tracks, timed_boxes
 from vigilgrid.plans import alerts as A
 from vigilgrid.session import scratch_path
 from vigilgrid.sources.standin import VIEWS
@@ -148,6 +148,16 @@ def live_track_states(t):
     return out.where(F.col("state") != "deleted").select("camera_id", "track_id", "ts_ms", "state", "born_ms")
 
 
+@query("T8 J11 J12 A25 W14")
+def live_tracked_boxes(t):
+    """The tracker cascade as stream state over the boxes; its rows are those of ``tracked_boxes`` up to the watermark."""
+    lines = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
+    S.file_stream(t.spark, f"{t.sf_dir}/lineitem.parquet", ", ".join(f"{c} {k}" for c, k in lines.dtypes)).createOrReplaceTempView("live_lines_source")
+    boxes = t.spark.sql(VIEWS["boxes"][0].replace("{lineitem}", "live_lines_source"))
+    out = _drained(t, C.live_tracks(timed_boxes(t, boxes), TRACKER, ttl_ms=400 * DAY, lateness="10 seconds"))
+    return shown_tracks(out)
+
+
 @query("T9", "points", """SELECT camera_id, track_id, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, (max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE AS dwell_s FROM (SELECT *, sum(n) OVER (PARTITION BY camera_id, track_id ORDER BY ts_ms) AS s FROM
  (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY camera_id, track_id ORDER BY ts_ms) < 43200000 THEN 0 ELSE 1 END AS n FROM points)) GROUP BY camera_id, track_id, s
  HAVING max(ts_ms) + 43200000 <= (SELECT max(ts_ms) FROM points) - 7200000""")
