@@ -224,8 +224,8 @@ def _joined(sets: DataFrame) -> DataFrame:
     """``set, component`` after all links."""
     prefix = F.posexplode("p1").alias("place", "key")
     keys = sets.select("set", "n", F.size("tokens").alias("t"), prefix).select(
-        "set", "key", "n", (F.col("t") - F.col("place")).cast("bigint").alias("rem"))
-    return links.components(links.crowded(keys, PERCENT), sets, PERCENT, _orders_meet)
+        "set", "key", "n", (F.col("t") - F.col("place")).cast("bigint").alias("rem"), F.array("key").alias("marks"))
+    return links.components(links.crowded(keys, PERCENT), sets.withColumn("orders", F.array("p1")), PERCENT, _orders_meet)
 
 
 def _orders_meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:

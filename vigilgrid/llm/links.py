@@ -9,7 +9,8 @@ either excluded by a bound or compared on whole sets.
 
 Bounds: sizes; ``rem``, the tokens from the key on under a global order (0-based place, so at most
 that many can be shared); and parity bitmaps, whose Hamming distance is at most the size of the
-symmetric difference.
+symmetric difference. A pair that shares several keys is a row under the first of them only: a key's
+``marks`` are the first common entries of the sets' ``orders``.
 """
 
 from __future__ import annotations
@@ -62,8 +63,9 @@ def crowded(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def components(keys: DataFrame, sets: DataFrame, percent: int, further: Callable[[DataFrame, DataFrame], DataFrame] = lambda pairs, sets: pairs) -> DataFrame:
-    """``set, component`` of all ``sets(set, n, bits, tokens)``; ``keys(set, key, n, rem)`` as ``crowded``
-    returns them; ``further`` takes pairs away that cannot link, before whole sets are compared."""
+    """``set, component`` of all ``sets(set, n, bits, tokens, orders)``; ``keys(set, key, n, rem, marks)``
+    as ``crowded`` returns them; ``further`` takes pairs away that cannot link, before whole sets are
+    compared. ``orders`` and ``marks`` are arrays of equal length, of lists and of entries of these."""
     label = sets.select("set", F.col("set").alias("component"))
     now = keys.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
@@ -116,12 +118,13 @@ def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs between components of a key that no bound excludes. A key's largest component meets the
     others only; pairs meet by classes of size, similar ones being at most one class apart."""
     size = F.floor(F.log("n") / float(np.log(100 / percent)))
-    rows = now.join(sets.select("set", "bits"), "set")
-    few = rows.where("component <> most").select("key", "most", F.col("set").alias("a"), F.col("n").alias("na"), F.col("rem").alias("ra"), F.col("bits").alias("ba"),
-                                                 F.col("component").alias("ca"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    every = rows.select("key", "set", "n", "rem", "bits", "component", size.alias("size"))
+    rows = now.join(sets.select("set", "bits", "orders"), "set")
+    few = rows.where("component <> most").select("key", "marks", "most", F.col("set").alias("a"), F.col("n").alias("na"), F.col("rem").alias("ra"), F.col("bits").alias("ba"),
+                                                 F.col("orders").alias("oa"), F.col("component").alias("ca"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    every = rows.select("key", "set", "n", "rem", "bits", "orders", "component", size.alias("size"))
     fits = (F.least("ra", "rem") >= least_shared("na", "n", percent)) & _sizes_fit("na", "n", percent) & _bits_fit("na", "n", "ba", "bits", percent)
-    return few.join(every, ["key", "size"]).where(F.expr("ca <> component AND (component = most OR a < set)") & fits).select(
+    first = F.expr("forall(sequence(0, size(marks) - 1), i -> get(array_intersect(get(oa, i), get(orders, i)), 0) = get(marks, i))")
+    return few.join(every, ["key", "size"]).where(F.expr("ca <> component AND (component = most OR a < set)") & fits & first).select(
         F.col("a").alias("set"), F.col("set").alias("other")).distinct()
 
 

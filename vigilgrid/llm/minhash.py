@@ -56,14 +56,14 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tables(sets: DataFrame) -> DataFrame:
-    """``set, key, n, rem``: a row for every table in which ``sets(set, n, keys)`` may meet another."""
+    """``set, key, n, rem, marks``: a row for every table in which ``sets(set, n, keys)`` may meet another."""
     each = sets.select("set", "n", F.explode("keys").alias("part"))
     often = each.groupBy("part").count().where("count > 1").select("part")
     odd = F.col("part").bitwiseAND(F.lit(1)) == 1
     shared = each.join(often, "part").groupBy("set", "n").agg(
         F.collect_list(F.when(odd, F.col("part"))).alias("a"), F.collect_list(F.when(~odd, F.col("part"))).alias("b"))
     pairs = shared.select("set", "n", F.explode("a").alias("a"), "b").select("set", "n", "a", F.explode("b").alias("b"))
-    return pairs.select("set", F.xxhash64("a", "b").alias("key"), "n", F.col("n").alias("rem"))
+    return pairs.select("set", F.xxhash64("a", "b").alias("key"), "n", F.col("n").alias("rem"), F.array("a", "b").alias("marks"))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +74,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = summary.where("n > 0").groupBy("set").agg(*(F.first(c).alias(c) for c in ("hash", "n", "keys")))
     met = links.crowded(tables(sets), PERCENT)
     wanted = cut_lineage(sets.select("set", "hash").join(met.select("set").distinct(), "set", "left_semi"))
-    found = links.components(met, members(rows, wanted), PERCENT)
+    # Both collections in order of value, which is the same order for all sets.
+    orders = sets.select("set", F.expr("array(array_sort(filter(keys, k -> (k & 1) = 1)), array_sort(filter(keys, k -> (k & 1) = 0)))").alias("orders"))
+    found = links.components(met, cut_lineage(members(rows, wanted).join(orders, "set")), PERCENT)
     return links.named(summary.drop("keys"), found)
 
 
