@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from vigilgrid.catalog.registry import query
 from vigilgrid.functions import vectors as V
-from vigilgrid.operators.nearest import nearest, nearest_approximate
+from vigilgrid.operators import inverted
+from vigilgrid.operators.nearest import nearest
 from vigilgrid.plans import evaluation as E, identity as I
+from vigilgrid.session import scratch_path
 
 THRESHOLDS = {"person": 0.18, "vehicle": 0.15}
 
@@ -30,28 +32,43 @@ def _candidates(t):
     return t.crops.select(F.col("crop_id").alias("candidate_id"), "camera_id", "embedding")
 
 
-@query("O2 V2 V6", "crops", "SELECT CAST(probe_id AS BIGINT) AS probe_id, candidate_id, round(s, 6) AS similarity, r AS rank FROM ranked WHERE r <= 10", PAIRS)
+#: The stated query set: crops whose id is divisible by 100, against all crops.
+ASKED = """pairs AS (SELECT p.crop_id AS probe_id, x.crop_id AS candidate_id, x.camera_id, list_cosine_similarity(p.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS s FROM crops p, crops x WHERE p.crop_id % 100 = 0),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(s, 9) DESC, candidate_id) AS r FROM pairs)"""
+
+
+def _asked(t):
+    return t.crops.where(F.col("crop_id") % 100 == 0).select(F.col("crop_id").alias("probe_id"), "embedding")
+
+
+@query("O2 V2 V6", "crops", "SELECT probe_id, candidate_id, round(s, 6) AS similarity, r AS rank FROM ranked WHERE r <= 10", ASKED)
 def vector_top_k(t):
-    top = nearest(_probes(t), _candidates(t), 10)
+    top = nearest(_asked(t), _candidates(t), 10)
     return top.select("probe_id", "candidate_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("V6 P9 O2", "crops", """SELECT CAST(probe_id AS BIGINT) AS probe_id, candidate_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY s DESC, candidate_id) AS r2
- FROM pairs JOIN crops ON crop_id = candidate_id WHERE camera_id IN (1, 3)) WHERE r2 <= 5""", PAIRS)
+@query("V6 P9 O2", "crops", """SELECT probe_id, candidate_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(s, 9) DESC, candidate_id) AS r2
+ FROM pairs WHERE camera_id IN (1, 3)) WHERE r2 <= 5""", ASKED)
 def filtered_vector_top_k(t):
-    top = nearest(_probes(t), _candidates(t).where(F.col("camera_id").isin(1, 3)), 5)
+    top = nearest(_asked(t), _candidates(t).where(F.col("camera_id").isin(1, 3)), 5)
     return top.select("probe_id", "candidate_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _index(t):
+    return inverted.build(_candidates(t), scratch_path(t.spark, "inverted"))
+
+
 @query("V7")
 def approximate_top_k(t):
-    top = nearest_approximate(_probes(t), _candidates(t), 10, cells=12, visit=6)
-    return top.select("probe_id", "candidate_id", F.round("similarity", 6).alias("similarity"))
+    top = inverted.search(_index(t), _asked(t), 10)
+    return top.select("probe_id", "candidate_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("E4 V7")
+@query("E4 V7", "crops", "SELECT true AS reached, count(*) AS neighbours FROM ranked WHERE r <= 10", ASKED)
 def approximate_recall(t):
-    return E.neighbour_recall(nearest_approximate(_probes(t), _candidates(t), 10, cells=12, visit=6), nearest(_probes(t), _candidates(t), 10))
+    """Whether the index finds nine tenths of the exact neighbours of the query set."""
+    found = E.neighbour_recall(inverted.search(_index(t), _asked(t), 10), nearest(_asked(t), _candidates(t), 10))
+    return found.select((F.col("recall") >= 0.9).alias("reached"), "neighbours")
 
 
 @query("V1", "crops", """SELECT crop_id, round(list_dot_product(list_transform(s, lambda x: x / n), list_transform(s, lambda x: x / n)), 8) AS norm2, round(s[1] / n, 6) AS first FROM
