@@ -128,7 +128,7 @@ def test_nearest_is_exact_in_blocks(spark, blocks, monkeypatch):
 
 def test_percentiles(spark, rows):
     pdf, df = rows
-    got = {r.key: (r.p50, r.p95) for r in exact_percentiles(df, ["key"], "ts", {"p50": 0.5, "p95": 0.95}, 1000.0).collect()}
+    got = {r.key: (r.p50, r.p95) for r in exact_percentiles(df, ["key"], "ts", {"p50": 0.5, "p95": 0.95}).collect()}
     for key, part in pdf.groupby("key"):
         assert np.allclose(got[key], np.percentile(part.ts, [50, 95]))
 
@@ -184,3 +184,15 @@ def test_suppression_equals_loop(spark):
         if all(i % 3 != j % 3 or iou(j) <= 0.45 for j in kept):
             kept.append(i)
     assert got == set(kept)
+
+
+@pytest.mark.parametrize("draw", [lambda g, n: g.normal(0, 1e-3, n), lambda g, n: 10.0 ** g.uniform(-9, 9, n), lambda g, n: g.integers(0, 3, n) * 1.0,
+                                  lambda g, n: np.full(n, 7.5), lambda g, n: 5.0 + g.random(n)])
+@pytest.mark.parametrize("n", [1, 2, 37, 60_000])
+def test_percentiles_of_any_distribution(spark, draw, n):
+    values = draw(np.random.default_rng(n), n)
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "v": values})).union(spark.createDataFrame([("b", 1.0), ("b", None)], "key string, v double"))
+    points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r.key: r for r in exact_percentiles(df, ["key"], "v", points).collect()}
+    assert [got["a"][n] for n in points] == pytest.approx(np.quantile(values, list(points.values())).tolist(), rel=1e-12)
+    assert [got["b"][n] for n in points] == [1.0] * 5

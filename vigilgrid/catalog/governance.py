@@ -119,16 +119,19 @@ def pending_attributes(t):
     return G.pending(d, "done").select("det_id")
 
 
-BADC = f"{G.KNOWN_COLOURS}"
-ISSUES = f"""iss AS (SELECT det_id, 'dominant_colour' AS field_name, 'not a recognized colour name' AS issue FROM detections WHERE NOT list_contains({BADC}, lower(dominant_colour))
- UNION ALL SELECT det_id, 'dominant_colour', 'NULL despite attributes_extracted=True' FROM detections WHERE dominant_colour IS NULL
- UNION ALL SELECT det_id, 'vehicle_type', 'unrecognized vehicle type string' FROM detections WHERE class_label IN ('car', 'truck') AND NOT list_contains({G.KNOWN_VEHICLES}, lower(vehicle_type))
- UNION ALL SELECT det_id, 'gender_estimate', 'not a recognized gender' FROM detections WHERE NOT list_contains({G.KNOWN_GENDERS}, lower(gender_estimate))
- UNION ALL SELECT det_id, 'colour_confidence', 'out of [0.0, 1.0] range' FROM detections WHERE confidence * 1.1 > 1)"""
+# The values are written out here, so that a wrong list in the library shows.
+ISSUES = """d AS (SELECT *, CASE det_id % 7 WHEN 0 THEN '["bag"]' WHEN 1 THEN '{"hand": "bag"}' WHEN 2 THEN '"bag"' WHEN 3 THEN 'a bag' WHEN 4 THEN '12' WHEN 5 THEN '[]' END AS carried_items FROM detections),
+ iss AS (SELECT det_id, 'dominant_colour' AS field_name, 'unknown colour' AS issue FROM d WHERE lower(dominant_colour) NOT IN ('red', 'blue', 'green', 'yellow', 'black', 'white', 'grey', 'silver', 'orange', 'purple', 'brown')
+ UNION ALL SELECT det_id, 'dominant_colour', 'no colour though attributes were extracted' FROM d WHERE dominant_colour IS NULL
+ UNION ALL SELECT det_id, 'vehicle_type', 'unknown vehicle type' FROM d WHERE class_label IN ('car', 'truck') AND lower(vehicle_type) NOT IN ('suv', 'sedan', 'truck', 'van')
+ UNION ALL SELECT det_id, 'gender_estimate', 'unknown gender' FROM d WHERE lower(gender_estimate) NOT IN ('male', 'female')
+ UNION ALL SELECT det_id, 'colour_confidence', 'outside 0 to 1' FROM d WHERE confidence * 1.1 > 1
+ UNION ALL SELECT det_id, 'carried_items', 'neither a list nor an object' FROM d WHERE det_id % 7 IN (2, 3, 4))"""
 
 
 def _attributes(t):
-    return t.detections.withColumn("colour_confidence", F.col("confidence") * 1.1)
+    carried = F.expr("""CASE det_id % 7 WHEN 0 THEN '["bag"]' WHEN 1 THEN '{"hand": "bag"}' WHEN 2 THEN '"bag"' WHEN 3 THEN 'a bag' WHEN 4 THEN '12' WHEN 5 THEN '[]' END""")
+    return t.detections.withColumn("colour_confidence", F.col("confidence") * 1.1).withColumn("carried_items", carried)
 
 
 @query("A32", "detections", "SELECT * FROM iss", ISSUES)

@@ -179,11 +179,11 @@ def facet_by_track(t):
     return t.detections.where(F.col("track_id") == 7).select("det_id", "confidence").orderBy(F.desc("confidence"), "det_id")
 
 
-@query("W13", "boxes", """SELECT frame_id, any_value(n) AS detections FROM (SELECT f.frame_id, last_value(s.n IGNORE NULLS) OVER (ORDER BY f.frame_id
- ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (SELECT DISTINCT frame_id FROM boxes) f LEFT JOIN
- (SELECT frame_id, count(*) AS n FROM boxes WHERE frame_id = 1 OR frame_id % 5 = 0 GROUP BY 1) s ON s.frame_id = f.frame_id) GROUP BY 1""")
+@query("W13", "boxes", """SELECT f.camera_id, f.frame_id, last_value(s.n IGNORE NULLS) OVER (PARTITION BY f.camera_id ORDER BY f.frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS detections
+ FROM (SELECT DISTINCT camera_id, frame_id FROM boxes) f LEFT JOIN (SELECT camera_id, frame_id, count(*) AS n FROM boxes WHERE frame_id = 1 OR frame_id % 5 = 0 GROUP BY 1, 2) s
+ ON s.frame_id = f.frame_id AND s.camera_id = f.camera_id""")
 def carried_detections(t):
-    per_frame = t.boxes.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).withColumn("stream", F.lit(0))
+    per_frame = t.boxes.groupBy("camera_id", "frame_id").agg(F.count(F.lit(1)).alias("n"))
     seen = F.when(P.every_fifth(F.col("frame_id")), F.col("n"))
-    filled = forward_fill(per_frame, ["stream"], ["frame_id"], seen, F.floor(F.col("frame_id") / 1000), "detections")
-    return filled.select("frame_id", "detections")
+    filled = forward_fill(per_frame, ["camera_id"], ["frame_id"], seen, F.floor(F.col("frame_id") / 10_000), "detections")
+    return filled.select("camera_id", "frame_id", "detections")

@@ -14,12 +14,13 @@ REDACTED = "[REDACTED]"
 # Days each table is kept; the audit log is kept for good.
 RETENTION_DAYS = {"video_segments": 90, "detected_objects": 90, "events": 365, "search_queries": 90,
                   "chat_history": 90, "frame_embeddings": 30, "tracks": 30, "audit_log": None}
+# Attribute values that extraction may give, and the labels of vehicles.
 KNOWN_COLOURS = ["red", "blue", "green", "yellow", "black", "white", "grey", "silver", "orange", "purple", "brown",
                  "pink", "beige", "navy", "maroon", "cyan", "magenta", "gold", "tan", "olive", "teal", "coral", "cream",
                  "charcoal", "khaki", "lavender", "turquoise", "burgundy", "ivory", "dark", "light"]
 KNOWN_VEHICLES = ["suv", "sedan", "truck", "van", "motorcycle", "bus", "hatchback", "coupe", "pickup", "minivan",
                   "convertible", "wagon", "crossover"]
-KNOWN_GENDERS = ["male", "female", "man", "woman", "child"]
+KNOWN_GENDERS = ["male", "female"]
 VEHICLE_LABELS = ["car", "truck", "bus", "motorcycle", "vehicle"]
 
 
@@ -126,14 +127,19 @@ def attribute_issues(detections: DataFrame, id_col: str) -> DataFrame:
         return c(name).isNotNull() & ~F.lower(name).isin(known)
 
     have = set(detections.columns)
-    checks = [issue("dominant_colour", unknown("dominant_colour", KNOWN_COLOURS), "not a recognized colour name"),
-              issue("dominant_colour", c("dominant_colour").isNull(), "NULL despite attributes_extracted=True"),
-              issue("vehicle_type", vehicle & unknown("vehicle_type", KNOWN_VEHICLES), "unrecognized vehicle type string"),
-              issue("gender_estimate", unknown("gender_estimate", KNOWN_GENDERS), "not a recognized gender")]
-    checks += [issue(f, person & unknown(f, KNOWN_COLOURS), "not a recognized colour name") for f in ("upper_colour", "lower_colour")]
+    checks = [issue("dominant_colour", unknown("dominant_colour", KNOWN_COLOURS), "unknown colour"),
+              issue("dominant_colour", c("dominant_colour").isNull(), "no colour though attributes were extracted"),
+              issue("vehicle_type", vehicle & unknown("vehicle_type", KNOWN_VEHICLES), "unknown vehicle type"),
+              issue("gender_estimate", unknown("gender_estimate", KNOWN_GENDERS), "unknown gender")]
+    checks += [issue(f, person & unknown(f, KNOWN_COLOURS), "unknown colour") for f in ("upper_colour", "lower_colour")]
     for f, scope in (("colour_confidence", F.lit(True)), ("vehicle_type_confidence", vehicle), ("upper_colour_conf", person), ("lower_colour_conf", person)):
         if f in have:
-            checks.append(issue(f, scope & c(f).isNotNull() & ~c(f).between(0.0, 1.0), "out of [0.0, 1.0] range"))
+            checks.append(issue(f, scope & c(f).isNotNull() & ~c(f).between(0.0, 1.0), "outside 0 to 1"))
+    if "carried_items" in have:
+        # Text that is no JSON, or JSON of another kind, is a fault; no items at all are none.
+        kind = F.schema_of_variant(F.try_parse_json("carried_items"))
+        listed = F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
+        checks.append(issue("carried_items", c("carried_items").isNotNull() & ~listed, "neither a list nor an object"))
     return detections.select(id_col, F.explode(F.array_compact(F.array(*checks))).alias("i")).select(id_col, "i.*")
 
 

@@ -177,39 +177,37 @@ def alert_fatigue(daily: DataFrame) -> DataFrame:
                         .when(F.col("i").isNotNull(), "critical").alias("alert_fatigue_status"))
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float],
-                      bucket_width: float = 10.0) -> DataFrame:
+def exact_percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Linearly interpolated percentiles without gathering a group in one place.
 
-    Values are counted once per distinct value, bucket totals locate the few buckets that hold the
-    wanted ranks, and only those buckets are ordered. One row per ``by`` with a column per point.
+    A mergeable sketch per group bounds every percentile from both sides, whatever the distribution. One
+    pass counts the rows below the bounds and, value by value, those between them; only the latter, a
+    share of about ``4 / accuracy`` besides ties, are ordered. One row per ``by`` with a column per point.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_v") / bucket_width))
-    along = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    buckets = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m")).select(
-        *by, "_b", F.sum("_m").over(along).alias("_to"), F.sum("_m").over(whole).alias("_all"), "_m")
-    exact = {n: F.lit(p) * (F.col("_all") - 1) for n, p in points.items()}
-    wanted = F.array(*[F.struct(F.lit(n).alias("point"), side(r).cast("long").alias("rank"),
-                                (r - F.floor(r)).alias("share"), F.lit(i).alias("upper"))
-                       for n, r in exact.items() for i, side in enumerate((F.floor, F.ceil))])
-    targets = buckets.withColumn("_w", F.explode(wanted)).select(
-        *by, "_b", (F.col("_to") - F.col("_m")).alias("_from"), "_to", "_w.*").where(
-        (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.join(targets.select(*by, "_b").distinct(), by + ["_b"], "left_semi").withColumn(
-        "_upto", F.sum("_n").over(inside))
-    found = ranked.join(targets, by + ["_b"]).where(
-        (F.col("rank") - F.col("_from") < F.col("_upto"))
-        & (F.col("rank") - F.col("_from") >= F.col("_upto") - F.col("_n")))
-    out = []
-    for n in points:
-        low = F.max(F.when((F.col("point") == n) & (F.col("upper") == 0), F.col("_v")))
-        high = F.max(F.when((F.col("point") == n) & (F.col("upper") == 1), F.col("_v")))
-        share = F.max(F.when(F.col("point") == n, F.col("share")))
-        out.append((low + (high - low) * share).alias(n))
-    return found.groupBy(*by).agg(*out)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    margin = 2.0 / accuracy
+    sides = [max(0.0, min(1.0, p + d)) for p in points.values() for d in (-margin, margin)]
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", sides, accuracy).alias("_q"), F.count(F.lit(1)).alias("_all"))
+    # A margin must span a few ranks, so groups of few rows are ordered whole.
+    few = F.col("_all") <= 4 * accuracy
+    low, high = (lambda i, d=d, end=end: F.when(few, F.lit(end)).otherwise(F.get("_q", F.lit(2 * i + d))) for d, end in ((0, float("-inf")), (1, float("inf"))))
+    near = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(p).alias("p"), low(i).alias("low"), high(i).alias("high"))
+                     for i, (n, p) in enumerate(points.items())])
+    each = rows.join(sketch, by).select(*by, "_all", "_v", F.explode(near).alias("w")).where("_v <= w.high")
+    # Rows below the lower bound share one null value, which comes first.
+    counts = each.groupBy(*by, "w.point", "w.p", "_all", F.expr("IF(_v >= w.low, _v, NULL)").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*by, "point").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.col("p") * (F.col("_all") - 1)
+    placed = counts.withColumn("_to", F.sum("_n").over(along)).where("_v IS NOT NULL").withColumns({"_at": at, "_from": F.col("_to") - F.col("_n")})
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_from")) & (rank < F.col("_to"))
+
+    found = placed.groupBy(*by, "point").agg(
+        F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("a"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("b"),
+        F.max(F.col("_at") - F.floor("_at")).alias("share"))
+    value_of = F.col("a") + (F.col("b") - F.col("a")) * F.col("share")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("point") == n, value_of)).alias(n) for n in points])
 
 
 def latency_profile(df: DataFrame, latency: str, by: list[str]) -> DataFrame:
