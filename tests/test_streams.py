@@ -131,3 +131,19 @@ def test_chains_equal_the_batch_rules_on_shuffled_files(spark, scene, tmp_path,
     batch = A.crowd(boxes, RULES, 640, 480, WINDOW) if name == "crowd" else A.suppress(A.DETECTORS[name](boxes, RULES), WINDOW)
     want = found(batch, until)
     assert len(want) > 5 and found(spark.read.schema(chain.schema).parquet(str(tmp_path / "out")), until) == want
+
+
+def test_kept_table_stays_small_and_right_over_fifty_batches(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    folder, table, want = tmp_path / "kept", R.KeptTable(spark, str(tmp_path / "kept"), ["org_id"]), {}
+    for batch in range(50):
+        changed = {(int(d), int(h), int(o)) for d, h, o in zip(rng.integers(batch // 20, batch // 20 + 2, 6), rng.integers(0, 24, 6), rng.integers(0, 3, 6))}
+        rows = [(f"2024-01-0{d + 1} {h:02d}:00:00", o, batch * 100 + o) for d, h, o in changed]
+        df = spark.createDataFrame(rows, "bucket string, org_id int, event_count int").withColumn("bucket", F.to_timestamp("bucket"))
+        for _ in range(2 if batch % 7 == 0 else 1):  # a micro-batch that is written again changes nothing
+            table.write(df, batch)
+        want.update({(b, o): n for b, o, n in rows})
+    got = {(r.bucket.strftime("%Y-%m-%d %H:%M:%S"), r.org_id): r.event_count for r in table.rows().collect()}
+    assert got == want
+    days = len({b[:10] for b, _ in want})
+    assert len(list(folder.glob("day=*/version=*/*.parquet"))) <= 2 * days

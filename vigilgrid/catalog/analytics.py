@@ -54,13 +54,15 @@ def camera_health_hourly(t):
         F.round(c, 6).alias(c) for c in ("uptime_ratio", "avg_frame_drop_rate", "avg_detection_latency_ms")])
 
 
-@query("A5 A6 A7 A8", "alerts cameras searches", f"""
+KPI_SQL = f"""
 SELECT (SELECT count(*) FROM cameras WHERE org_id = {ORG} AND NOT is_deleted) AS total_cameras,
  (SELECT count(*) FROM cameras WHERE org_id = {ORG} AND NOT is_deleted AND status = 'active') AS active_cameras,
  (SELECT CAST(coalesce(sum(event_count), 0) AS BIGINT) FROM eh WHERE org_id = {ORG} AND bucket >= {SINCE['1 HOUR']}) AS events_per_hour,
  (SELECT count(*) FROM searches WHERE org_id = {ORG} AND created_at >= {SINCE['1 MINUTE']}) AS queries_per_minute,
- (SELECT round(avg(avg_latency_ms), 1) FROM sh WHERE org_id = {ORG} AND bucket >= {SINCE['1 DAY']}) AS average_search_latency_ms""",
-       f"{HOURLY}, {SEARCHES}")
+ (SELECT round(avg(avg_latency_ms), 1) FROM sh WHERE org_id = {ORG} AND bucket >= {SINCE['1 DAY']}) AS average_search_latency_ms"""
+
+
+@query("A5 A6 A7 A8", "alerts cameras searches", KPI_SQL, f"{HOURLY}, {SEARCHES}")
 def realtime_kpis(t):
     return P.realtime_kpis(t.cameras, _hourly(t, hours=1), t.searches, ORG, AS_OF)
 

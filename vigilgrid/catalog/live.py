@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from vigilgrid.catalog.analytics import HOURLY, KPI_SQL, ORG, SEARCHES
 from vigilgrid.catalog.alerting import ABANDON, CROWD, DAY, FIGHT, HOUR, KEPT, LOCKS, LOITER, STEP, ZONES, suppressed_sql
 from vigilgrid.catalog.joining import meets_sql, ring_sql
 from vigilgrid.catalog.registry import query
 from vigilgrid.catalog.shapes import SKETCH, TRACKER, shown_tracks, timed_boxes
-from vigilgrid.plans import alerts as A
+from vigilgrid.plans import alerts as A, reports as P
 from vigilgrid.session import scratch_path
-from vigilgrid.sources.standin import VIEWS
+from vigilgrid.sources.standin import AS_OF, VIEWS
 from vigilgrid.streaming import chains as C, rollups as R, sources as S, stateful as T
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -55,6 +56,22 @@ def live_kpi_feed(t):
     return _latest(t, R.events_hourly(_events(t)), keys).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+@query("S12 T15 A5 A6 A7 A8", "alerts cameras searches", KPI_SQL, f"{HOURLY}, {SEARCHES}")
+def live_kpis(t):
+    """The five values of the feed from three kept rollups, at the moment that stands for now."""
+    lines = t.raw("part")
+    S.file_stream(t.spark, f"{t.sf_dir}/part.parquet", ", ".join(f"{c} {k}" for c, k in lines.dtypes)).createOrReplaceTempView("live_parts_source")
+    searches = t.spark.sql(VIEWS["searches"][0].replace("{part}", "live_parts_source")).withColumn("ts", F.col("created_at").cast("timestamp"))
+    kept = []
+    for rollup, keys in ((R.events_hourly(_events(t)), ["org_id", "camera_id", "event_type", "severity"]), (R.searches_by_second(searches), ["org_id"]),
+                         (R.searches_hourly(searches), ["org_id"])):
+        out = scratch_path(t.spark, "kept")
+        table = R.KeptTable(t.spark, f"{out}/data", keys)
+        R.drained(table.keep(rollup, f"{out}/checkpoint", every=None))
+        kept.append(table.rows().withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
+    return P.kept_kpis(t.cameras, *kept, ORG, AS_OF)
+
+
 @query("T15 A4", "health", """SELECT date_trunc('hour', ts) AS bucket, org_id, camera_id, round(avg(CASE WHEN uptime_status = 'online' THEN 1.0::DOUBLE ELSE 0 END), 6) AS uptime_ratio,
  round(avg(frame_drop_rate), 6) AS avg_frame_drop_rate, round(avg(detection_latency_ms), 6) AS avg_detection_latency_ms FROM health GROUP BY ALL""")
 def live_health_hourly(t):

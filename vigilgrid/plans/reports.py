@@ -70,6 +70,20 @@ def realtime_kpis(cameras: DataFrame, hourly: DataFrame, searches: DataFrame, or
     return out.drop("_one")
 
 
+def kept_kpis(cameras: DataFrame, hourly: DataFrame, by_second: DataFrame, searches_hourly: DataFrame, org, as_of: str) -> DataFrame:
+    """The five values of ``realtime_kpis`` from rollups alone: events and searches by hour, searches by second."""
+    cams = live_rows(for_tenant(cameras, org)).agg(
+        F.count(F.lit(1)).alias("total_cameras"), F.count_if(F.col("status") == "active").alias("active_cameras"))
+    none = F.lit(0).cast("long")
+    parts = [for_tenant(hourly, org).where(F.col("bucket") >= ago(as_of, hours=1)).agg(F.coalesce(F.sum("event_count"), none).alias("events_per_hour")),
+             for_tenant(by_second, org).where(F.col("bucket") >= ago(as_of, mins=1)).agg(F.coalesce(F.sum("query_count"), none).alias("queries_per_minute")),
+             for_tenant(searches_hourly, org).where(F.col("bucket") >= ago(as_of, days=1)).agg(F.round(F.avg("avg_latency_ms"), 1).alias("average_search_latency_ms"))]
+    out = cams.withColumn("_one", F.lit(1))
+    for p in parts:
+        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
 def a_day_and_an_hour(as_of: str) -> Column:
     """A day and a part hour back, so that no row of a needed bucket is pruned."""
     return ago(as_of, days=1, hours=1)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vigilgrid.session import cut_lineage
+
 LATENESS = "2 hours"
 
 
@@ -61,6 +65,76 @@ def drained(query: StreamingQuery) -> None:
         raise RuntimeError(f"{late} rows came later than the watermark allows and are missing; allow more lateness or feed files in event-time order")
 
 
+def searches_by_second(searches: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    return _bucketed(searches, ts, "1 second", lateness, ["org_id"], F.count(F.lit(1)).alias("query_count"))
+
+
+class KeptTable:
+    """A rollup kept current in a table whose files stay few, however many micro-batches write it.
+
+    Rows lie by day of their bucket. A micro-batch rewrites the days that it changes, rows it does not
+    change included, as a new version of each day; readers take a day's newest version. The version
+    before stays for readers that have begun, older ones go. Writing a micro-batch again replaces its versions.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], bucket: str = "bucket", files_per_day: int = 1):
+        self.spark, self.folder, self.keys, self.bucket, self.files_per_day = spark, folder, list(keys), bucket, files_per_day
+
+    def _versions(self, before: int | None = None) -> DataFrame | None:
+        """Rows of every day's newest version, of micro-batches before the given one."""
+        if not _there(self.spark, self.folder):
+            return None
+        rows = self.spark.read.option("basePath", self.folder).parquet(f"{self.folder}/day=*")
+        if before is not None:
+            rows = rows.where(F.col("version") < before)
+        newest = F.broadcast(rows.groupBy("day").agg(F.max("version").alias("version")))  # a row per day
+        return rows.join(newest, ["day", "version"])
+
+    def write(self, changed: DataFrame, batch_id: int) -> None:
+        """Take the changed groups of a micro-batch, each with its whole new value."""
+        changed = cut_lineage(changed.withColumn("day", F.date_format(self.bucket, "yyyy-MM-dd")))
+        days = [r.day for r in changed.select("day").distinct().collect()]
+        if not days:
+            return
+        rows, held = changed, self._versions(batch_id)
+        if held is not None:
+            same = [self.bucket, *self.keys]
+            rest = held.where(F.col("day").cast("string").isin(days)).withColumn("day", F.col("day").cast("string")).drop("version")
+            rows = rest.join(changed.select(*same), same, "left_anti").unionByName(changed)
+        # Counted before its old version could go, so nothing is read from what it replaces.
+        rows = cut_lineage(rows.withColumn("version", F.lit(batch_id)))
+        rows.repartition(self.files_per_day * len(days), "day").write.partitionBy("day", "version").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(self.folder)
+        self._forget(days)
+
+    def _forget(self, days: list[str]) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for day in days:
+            at = path(f"{self.folder}/day={day}")
+            files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            found = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in files.listStatus(at) if "version=" in s.getPath().getName())
+            for _, old in found[:-2]:
+                files.delete(old, True)
+
+    def rows(self) -> DataFrame:
+        """The table as it stands; before the first rows have come there is none."""
+        held = self._versions()
+        if held is None:
+            raise FileNotFoundError(f"nothing has been kept in {self.folder} yet")
+        return held.drop("day", "version")
+
+    def keep(self, rollup: DataFrame, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
+        """Keep an update-mode rollup; ``every=None`` takes what is available and stops."""
+        writer = rollup.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(self.write)
+        return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+def _there(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/day=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def upsert_latest(df: DataFrame, folder: str, checkpoint: str, every: str | None = "5 seconds"):
     """Update-mode feed: each micro-batch's changed groups go to their own folder ``batch=N``.
 
