@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by blocked matrix products, and an approximate variant.
+"""Exact nearest neighbours by blocked matrix products.
 
 Vectors are packed into blocks of bounded size. A block of probes meets a block of candidates in
 one Arrow batch, where one matrix product yields the best ``k`` per probe; only those leave the
@@ -99,28 +99,3 @@ def _blocks(rows: DataFrame, sizes: DataFrame, on: list[str], name: str, side: s
     packed = spread.groupBy(*on, "_block", name).agg(F.collect_list(F.struct("_id", "_v")).alias("_rows"))
     keep = [name] if side == "p" else []
     return packed.select(*on, "_block", *keep, F.col("_rows._id").alias(f"{side}_ids"), F.flatten("_rows._v").alias(f"{side}_vecs"))
-
-
-def nearest_approximate(probes: DataFrame, candidates: DataFrame, k: int, cells: int = 256, visit: int = 16,
-                        probe_id: str = "probe_id", candidate_id: str = "candidate_id",
-                        vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """Approximate top ``k``: each probe looks only into the ``visit`` cells nearest to it.
-
-    Cells come from k-means over the candidates; inside them scoring is exact and blocked like
-    ``nearest``, so a crowded cell is split and nothing is dropped from it.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = candidates.select(F.col(candidate_id), V.normalise(F.col(vector)).alias(vector)).where(
-        F.col(vector).isNotNull())
-    with_features = unit.withColumn("features", array_to_vector(vector)).persist()
-    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="_cell").fit(with_features)
-    with_features.unpersist()
-    placed = model.transform(with_features).select(candidate_id, vector, F.col("_cell").cast("long").alias("_cell"))
-    spark = candidates.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-                                    f"_cell long, {vector} array<double>")
-    visits = cut_lineage(nearest(probes, centres, visit, (), probe_id, "_cell", vector).select(probe_id, "_cell"))
-    spread = probes.select(probe_id, vector).join(visits, probe_id)
-    return nearest(spread, placed, k, ["_cell"], probe_id, candidate_id, vector)
