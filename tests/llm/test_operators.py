@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from functools import partial
 
@@ -232,6 +233,33 @@ def test_html_noise_longer_than_the_text_beside_it(spark):
     assert {i: got[i] for i in want} == want
 
 
+ARTICLE = "<article><h1>Head of it</h1><p>" + " ".join(f"word{i}" for i in range(60)) + "</p></article>"
+
+
+@pytest.mark.parametrize("before,after", [
+    ('<div class="content with-sidebar">', "</div>"), ('<div class="page nav-open">', "</div>"), ('<div id="page" class="no-sidebar">', "</div>"),
+    ('<section class="market-share">', "</section>"), ('<form action="/" method=post>', "</form>"), ('<div class="share">', "</div>"),
+    ("<header><p>name", ""), ('<form><nav>menu words</nav>', '<section class="comments">' + "<p>so many words said by a reader" * 40 + "</section></form>"),
+    ('<p title="x>', ""), ("<p title='x>", ""), ("<a href=x\"y'z>", "</a>"), ("<svg><path d='M0'/>", ""), ('<div class="sidebar"><main>', "</main></div>")])
+def test_html_wrappers_forms_and_lone_quotes_keep_the_article(before, after):
+    got = html.main_text(f"<html><body>{before}{ARTICLE}{after}</body></html>", {})
+    assert "Head of it\n" + " ".join(f"word{i}" for i in range(60)) in got and "reader" not in got and "menu" not in got and "<" not in got
+
+
+@pytest.mark.parametrize("name,noise", [
+    ("sidebar", True), ("site-footer", True), ("cookie-banner", True), ("comment-list", True), ("ad-slot", True), ("comments_3", True),
+    ("with-sidebar", False), ("nav-open", False), ("market-share", False), ("content", False), ("page", False), ("", False), ("header-fixed", False)])
+def test_html_noise_names(name, noise):
+    assert html.noise_name(f' data-x="1" class="a {name}"') == html.noise_name(f" id={name}") == noise
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p title=\"x>", "<a ", "<!--", "<p", "<b>x", "</p>", "<li>", "<script>", "<p =\"'", "<table><tr><td>", "<svg>", "=\"", "<a b='"])
+def test_html_long_malformed_pages_take_linear_time(piece):
+    started = time.perf_counter()
+    html.main_text(piece * (1_000_000 // len(piece)), {})
+    assert time.perf_counter() - started < 20
+
+
 def test_best_run():
     rng = random.Random(2)
     for _ in range(200):

@@ -25,8 +25,11 @@ INLINE = frozenset("a abbr b bdi bdo big br button cite code data del dfn em fon
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object option script select style svg "
                   "template textarea title".split())
-NOISE_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|modal|nav\w*|newsletter"
-                         r"|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])")
+# Words of a class, id or role that say what an element is, and words beside them that say only where or how it lies.
+NOISE_NAMES = re.compile(r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|contentinfo|disqus|footer|header|menu|modal|nav|navbar|navigation"
+                         r"|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|widgets?)")
+PLACE_NAMES = re.compile(r"(?:area|articles|bar|block|body|bottom|box|buttons?|container|content|form|global|group|inner|items?|left|links|list|main|outer|overlay"
+                         r"|page|panel|posts?|primary|region|right|secondary|section|site|slot|strip|thread|top|unit|wrap|wrapper|\d*)")
 #: Elements that hold a page or name a part of it; a class or id never makes them noise.
 NEVER_NAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 # End tags that HTML lets a page leave out: a start tag closes the open elements listed for it, inside the nearest bound.
@@ -46,14 +49,21 @@ BOUNDS = {"p": _CELL_BOUNDS, "li": _CELL_BOUNDS | {"ol", "ul", "menu", "dir"}, "
           **dict.fromkeys(_PARTS, frozenset("body html table template".split())), **dict.fromkeys("option optgroup".split(), frozenset("body datalist html select".split())),
           **dict.fromkeys("rt rp".split(), frozenset("body html ruby".split()))}
 _NAMED = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements whose content is text up to their end tag.
+RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+# Comments, declarations and tags. A quote counts at the start of a value only, and one that never ends is a plain character; no part gives
+# back what it took, so a page is read in one go whatever it holds. A tag that never ends takes the rest of the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?+|</(?![a-zA-Z])[^>]*+>?+"
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>?+""", re.S)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?+", re.I) for name in RAW}
+#: Open elements at most; one more takes the place of the innermost, as browsers do.
+DEEPEST = 512
 #: Bounds of a learned weight, and the most a tag may score.
 CLIP, TAG_MOST, WORD_LEAST = 8.0, -0.1, 0.5
 
 
-def _depth(open_elements: list[tuple[str, bool]], names: frozenset[str], bounds: frozenset[str]) -> int | None:
+def _depth(open_elements: list[tuple], names: frozenset[str], bounds: frozenset[str]) -> int | None:
     """Place of the innermost open element of ``names`` that no element of ``bounds`` encloses more closely."""
     for i in range(len(open_elements) - 1, -1, -1):
         if open_elements[i][0] in names:
@@ -63,7 +73,7 @@ def _depth(open_elements: list[tuple[str, bool]], names: frozenset[str], bounds:
     return None
 
 
-def implied_end(open_elements: list[tuple[str, bool]], name: str) -> int | None:
+def implied_end(open_elements: list[tuple], name: str) -> int | None:
     """How many open elements stay when a start tag closes others by itself; None if it closes none."""
     to = None
     if name == "body" or open_elements and open_elements[-1][0] == "head" and name not in HEAD_CONTENT:
@@ -81,50 +91,116 @@ def implied_end(open_elements: list[tuple[str, bool]], name: str) -> int | None:
                 if open_elements[at][0] in CLOSES[name]:
                     to = at
     if name in CLOSES_P:
-        p = _depth(open_elements[:to], frozenset(["p"]), _CELL_BOUNDS)
+        p = _depth(open_elements if to is None else open_elements[:to], frozenset(["p"]), _CELL_BOUNDS)
         to = p if p is not None else to
     return to
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """``(kind, feature, noise, text)``: kind is tag or words; the feature names the element."""
-    open_elements: list[tuple[str, bool]] = []
-    noisy = 0
-    at = 0
+def noise_name(attributes: str) -> bool:
+    """Whether a class, id or role names noise: whole names such as ``sidebar`` or ``site-footer``, not ``with-sidebar`` or ``market-share``."""
+    for name in (n for x in _NAMED.findall(attributes) for n in "".join(x).lower().split()):
+        told = [p for p in re.split("[-_]+", name) if not PLACE_NAMES.fullmatch(p)]
+        if told and all(NOISE_NAMES.fullmatch(p) for p in told):
+            return True
+    return False
+
+
+class _Elements:
+    """Elements of a page in the order they open; number 0 stands for the page itself."""
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.suspects, self.words = [""], [0], [False], [0]
+
+    def opened(self, name: str, parent: int, attributes: str) -> int:
+        self.names.append(name)
+        self.parents.append(parent)
+        self.suspects.append(name in NOISE or name not in NEVER_NAMED and bool(attributes) and noise_name(attributes))
+        self.words.append(0)
+        return len(self.names) - 1
+
+    def noise(self) -> list[bool]:
+        """Elements that are noise or lie in it. A suspect that holds ``main``, or the only ``article`` or a first heading beside more than half
+        of the words outside other suspects, is what a page wraps its text in and no noise."""
+        n = len(self.names)
+        sole = "article" if self.names.count("article") == 1 else ""
+        main, known = [x == "main" for x in self.names], [x == "h1" or x == sole for x in self.names]
+        for e in range(n - 1, 0, -1):
+            above = self.parents[e]
+            main[above] |= main[e]
+            known[above] |= main[e] or known[e] and (self.names[above] != "header" or self.names[e] != "h1")
+        aside = [False] * n
+        for e in range(1, n):
+            aside[e] = aside[self.parents[e]] or self.suspects[e] and not known[e]
+        plain = [0 if a else w for a, w in zip(aside, self.words)]
+        for e in range(n - 1, 0, -1):
+            plain[self.parents[e]] += plain[e]
+        out = [False] * n
+        for e in range(1, n):
+            wraps = self.names[e] != "head" and (main[e] or known[e] and 2 * plain[e] > plain[0])
+            out[e] = out[self.parents[e]] or self.suspects[e] and not wraps
+        return out
+
+
+def tokens(page: str) -> list[tuple[str, str, bool, str]]:
+    """``(kind, feature, noise, text)``: kind is tag or words; the feature names the element.
+
+    Malformed pages read as browsers read them; depth is bounded, so the time grows with the page's length.
+    """
+    elements = _Elements()
+    open_elements: list[tuple[str, int, str]] = []
+    counts: Counter = Counter()
+    seen: list[tuple[str, str, int, str]] = []
 
     def close(to: int | None) -> None:
-        nonlocal noisy
         if to is not None:
-            noisy -= sum(n for _, n in open_elements[to:])
+            counts.subtract(x[0] for x in open_elements[to:])
             del open_elements[to:]
 
-    def words(upto: int) -> Iterator[tuple[str, str, bool, str]]:
-        if upto > at:
-            if open_elements and open_elements[-1][0] == "head" and not page[at:upto].isspace():
+    def words(start: int, end: int) -> None:
+        if end > start:
+            text = page[start:end]
+            if open_elements and open_elements[-1][0] == "head" and not text.isspace():
                 close(len(open_elements) - 1)
-            holder = next((n for n, _ in reversed(open_elements) if n in BLOCKS), "none")
-            yield "words", "noise" if noisy else holder, bool(noisy), page[at:upto]
+            _, e, holder = open_elements[-1] if open_elements else ("", 0, "none")
+            elements.words[e] += _count_words(text)
+            seen.append(("words", holder, e, text))
 
-    for m in _TOKEN.finditer(page):
-        yield from words(m.start())
+    at = 0
+    while (m := _TOKEN.search(page, at)) is not None:
+        words(at, m.start())
         at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            yield "tag", "hidden", True, ""
+        name = (m[2] or "").lower()
+        if not name or page[at - 1] != ">":
+            seen.append(("tag", "hidden", -1, ""))
+            continue
+        if name in RAW:
+            if not m[1]:
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+            seen.append(("tag", "hidden", -1, ""))
             continue
         known = name if name in BLOCKS or name in INLINE or name in NOISE else "other"
-        if m[2]:
-            noise = bool(noisy)
-            close(_depth(open_elements, frozenset([name]), BOUNDS.get(name, frozenset())))
-            yield "tag", f"/{known}" + "!" * noise, noise, name
-        else:
+        if m[1]:
+            seen.append(("tag", f"/{known}", open_elements[-1][1] if open_elements else 0, name))
+            if counts[name]:
+                close(_depth(open_elements, frozenset([name]), BOUNDS.get(name, frozenset())))
+            continue
+        if counts["svg"] and name in BLOCKS:
+            close(_depth(open_elements, frozenset(["svg"]), frozenset()))
+        if name == "body" or name in CLOSES or counts["p"] and name in CLOSES_P or open_elements and open_elements[-1][0] == "head":
             close(implied_end(open_elements, name))
-            noise = name in NOISE or name not in NEVER_NAMED and any(NOISE_NAMES.search(" ".join(filter(None, x))) for x in _NAMED.findall(m[4]))
-            if name not in VOID and not m[4].rstrip().endswith("/"):
-                open_elements.append((name, noise))
-                noisy += noise
-            yield "tag", known + "!" * (noise or bool(noisy)), noise or bool(noisy), name
-    yield from words(len(page))
+        void = name in VOID or m[3].endswith("/")
+        if not void and len(open_elements) >= DEEPEST:
+            close(len(open_elements) - 1)
+        _, parent, holder = open_elements[-1] if open_elements else ("", 0, "none")
+        e = elements.opened(name, parent, m[3])
+        seen.append(("tag", known, e, name))
+        if not void:
+            open_elements.append((name, e, name if name in BLOCKS else holder))
+            counts[name] += 1
+    words(at, len(page))
+    noise = elements.noise() + [True]
+    return [(kind, ("noise" if noise[e] else f) if kind == "words" else f + "!" * (noise[e] and e >= 0), noise[e], text) for kind, f, e, text in seen]
 
 
 def _count_words(text: str) -> int:
@@ -133,7 +209,7 @@ def _count_words(text: str) -> int:
 
 def label_counts(page: str) -> Counter:
     """Tokens inside and outside the article by feature; empty unless the page marks exactly one."""
-    seen = list(tokens(page))
+    seen = tokens(page)
     opened = [i for i, t in enumerate(seen) if t[0] == "tag" and t[3] == "article" and t[1].startswith("article")]
     closed = [i for i, t in enumerate(seen) if t[0] == "tag" and t[1].startswith("/article")]
     out: Counter = Counter()
@@ -185,7 +261,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     """The article's blocks, one a line; empty for null, empty and wordless pages."""
-    seen = list(tokens(page or ""))
+    seen = tokens(page or "")
     scores = [score(k, f, n, weights) * (_count_words(t) if k == "words" else 1) for k, f, n, t in seen]
     start, end = best_run(scores)
     blocks, now = [], []
