@@ -294,7 +294,12 @@ def test_licenses_with_other_marks_and_changed_words(spark):
         add(" ".join(words).upper() + ",", name, len(words))
         add(" * ".join(f"\u201c{w}\u201d;" for w in words), name, len(words))
         for i in range(1, len(words) - 1):
-            add(" ".join([*words[:i], "other", *words[i + 1:]]), name, len(words) - 1)
+            changed = " ".join([*words[:i], "other", *words[i + 1:]])
+            # Without the word that names it a notice is some other license's.
+            if words[i].lower() in licenses.REQUIRED[name]:
+                rows.append((len(rows), changed))
+            else:
+                add(changed, name, len(words) - 1)
     for name, text in licenses.TEMPLATES.items():
         if name.endswith("-part") or f"{name}-part" in licenses.TEMPLATES or name == "bsd-3":
             add(text.replace('"', "\u201d"), name, len(text.split()))
@@ -307,6 +312,52 @@ def test_licenses_with_other_marks_and_changed_words(spark):
     assert all(licenses.TEMPLATES[n].rstrip(".").split()[-1] == w for n, w in (("mit", "SOFTWARE"), ("isc", "SOFTWARE"), ("bsd", "DAMAGE"), ("apache", "License")))
 
 
+def test_licenses_by_their_right_names(spark):
+    gnu, mit = licenses.TEMPLATES, licenses.TEMPLATES["mit"].split()
+    inserted = " ".join(mit[:85] + [f"added{i}" for i in range(12)] + mit[85:])
+    cases = [(f"Licensed under CC {k.upper()} {v}.", [f"cc-{k}-note"]) for k in licenses.CREATIVE for v in ("4.0", "3.0")]
+    cases += [(gnu[name], [name]) for name in ("gpl", "cc-by", "cc-by-nc-sa", "cc0", "zlib", "epl", "boost-note", *licenses.GNU, *licenses.GNU_NOTES, *licenses.GNU_PARTS)]
+    cases += [("Released under the XYZ License.", []), ("Licensed under CC 4.0 now.", []), (inserted, ["mit"]),
+              (" ".join(["Released under the MIT License."] * 3), ["mit-note"] * 3), (f"{gnu['bsd-3']} {gnu['mit']} {gnu['mit']}", ["bsd-3", "mit", "mit"])]
+    rows = [(i, f"the software of permission is\n{text}\nfree of the license") for i, (text, _) in enumerate(cases)]
+    got = {}
+    for r in licenses.scanned(frame(spark, rows)).orderBy("id", "start").collect():
+        got.setdefault(r.id, []).append((r.license, rows[r.id][1][r.start:r.end]))
+    assert {i: [n for n, _ in v] for i, v in got.items()} == {i: names for i, (_, names) in enumerate(cases) if names}
+    assert all(cases[i][0].removesuffix(" 3.0.").strip(".)/") == v[0][1].strip(".)/") for i, v in got.items() if len(v) == 1)
+
+
+def plain_alignment(template, words, shift):
+    """The score by the textbook recurrence over cells."""
+    side = licenses.reach(len(template))
+    best = {(0, d): 0 for d in range(-side, side + 1)}
+    for i in range(1, len(template) + 1):
+        for d in range(-side, side + 1):
+            j = i - 1 + shift + d
+            same = 0 <= j < len(words) and words[j] == template[i - 1]
+            best[i, d] = max(best[i - 1, d] + licenses.WEIGHT * same, best.get((i - 1, d + 1), -1), best.get((i, d - 1), 0) - 1)
+    return max(best[len(template), d] for d in range(-side, side + 1))
+
+
+def test_license_alignment_beside_plain_cells():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        template, words = rng.integers(1, 9, rng.integers(1, 30)).astype(np.uint64), rng.integers(1, 9, rng.integers(1, 60)).astype(np.uint64)
+        shift = int(rng.integers(-20, 50))
+        mine, theirs = licenses.aligned(template, words, shift)
+        assert (template[mine] == words[theirs]).all() and (np.diff(mine) > 0).all() and (np.diff(theirs) > 0).all()
+        inner = sum(max(0, (b - a) - (d - c)) for a, b, c, d in zip(theirs, theirs[1:], mine, mine[1:]))
+        assert licenses.WEIGHT * len(mine) - inner >= plain_alignment(template.tolist(), words.tolist(), shift)
+
+
+def test_license_alignment_is_quick():
+    body = licenses.words_of(pa.array([licenses.TEMPLATES["bsd-3"]]), bare=True).hashes
+    started = time.perf_counter()
+    for _ in range(20):
+        assert len(licenses.aligned(body, body, 0)[0]) == len(body)
+    assert time.perf_counter() - started < 1
+
+
 def test_classifier_on_held_out_rows(spark):
     got = queries.op8_quality_classifier(spark, SF)
     truth = spark.read.parquet(f"{SF}/labels.parquet")

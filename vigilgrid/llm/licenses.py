@@ -1,13 +1,15 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
 Templates are short and fixed, so their inverted index travels with the job and no row is shuffled.
-Every word trigram of a text, for short templates every bigram, is looked up in the index; hits of one template on neighbouring
-diagonals form a candidate, which a banded alignment turns into matched words and a span.
+Every word trigram of a text, for short templates every bigram, is looked up in the index. The diagonal with most hits of a template is the
+middle of a band, wide enough to take in the diagonals beyond an insertion; an alignment within it gives matched words and a span.
+A hit counts only with the words that tell its template from its kin (``REQUIRED``).
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -80,9 +82,50 @@ TEMPLATES |= {
                   f"all present and future rights to this software under copyright law. {_MIT_WARRANTY.format('')} For more information, please "
                   "refer to <https://unlicense.org/>"),
 } | PARTS
+_GNU_WARRANTY = ("This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                 "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have "
+                 "received a copy of the GNU {1}General Public License along with this {0}.")
+# Kinds of the GNU licenses as (thing, word of the kind, version).
+GNU = {"gpl2": ("program", "", "2"), "lgpl21": ("library", "Lesser ", "2.1"), "lgpl3": ("library", "Lesser ", "3"), "agpl3": ("program", "Affero ", "3")}
+GNU_PARTS = {f"{name}-part": (f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public "
+                              f"License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any "
+                              "later version.") for name, (thing, kind, version) in GNU.items()}
+GNU_NOTES = {f"{name}-note": f"This work is licensed under the GNU {kind}General Public License, version {version}." for name, (_, kind, version) in GNU.items()}
+# Creative Commons kinds by their short and long names.
+CREATIVE = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+            "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+PARTS |= GNU_PARTS | {
+    "boost-part": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+                   "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+                   "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+}
+TEMPLATES |= PARTS | GNU_NOTES | {f"cc-{k}-note": f"Licensed under CC {k.upper()} 4.0." for k in CREATIVE} | {
+    f"cc-{k}": f"This work is licensed under a Creative Commons {name} 4.0 International License." for k, name in CREATIVE.items()} | {
+    name: f"{GNU_PARTS[name + '-part']} {_GNU_WARRANTY.format(thing, kind)}" for name, (thing, kind, _) in GNU.items()} | {
+    "bsd-note": "Released under the BSD License.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "boost-note": ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+                   "http://www.boost.org/LICENSE_1_0.txt)"),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+             "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+             "applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not "
+             "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in "
+             "the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not "
+             "be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+            "https://www.eclipse.org/legal/epl-2.0/"),
+}
+#: Words that must match for a hit to bear the name, as they stand in the template without edge marks and in lower case.
+REQUIRED = {"mit-note": ["mit"], "bsd-note": ["bsd"], "apache-note": ["apache"], "apache-part": ["apache"], "apache": ["apache"], "mpl": ["mozilla"],
+            "epl": ["eclipse"], "boost-note": ["boost"], "gpl3-note": ["gnu", "3"], "gpl-part": ["gnu", "3"], "gpl": ["gnu", "3"], "cc0": ["waived"],
+            **{f"cc-{k}-note": ["cc", k] for k in CREATIVE}, **{f"cc-{k}": ["creative", name.lower()] for k, name in CREATIVE.items()},
+            **{f"{name}{end}": ["gnu", *kind.lower().split(), version] for name, (_, kind, version) in GNU.items() for end in ("", "-part", "-note")}}
 #: Templates with words in common; where their spans overlap, the one with most matched words counts.
-FAMILY = {name: name.removesuffix("-part") for name in PARTS} | {"bsd-3": "bsd"}
+FAMILY = ({name: name.removesuffix("-part") for name in PARTS} | {"bsd-3": "bsd", "apache-note": "apache"}
+          | dict.fromkeys([*GNU, *GNU_PARTS, *GNU_NOTES, "gpl", "gpl-part", "gpl3-note"], "gnu"))
 GRAM, BAND = 3, 8
+#: Words that may be inserted in a text of a template, and what a match weighs against one of them.
+REACH, WEIGHT = 64, 16
 #: Least share of a template's words that must be matched.
 COVERAGE = 0.75
 
@@ -123,54 +166,75 @@ def index(templates: dict[str, str]) -> tuple[list[np.ndarray], dict[int, dict[i
     return bodies, {size: dict(p) for size, p in places.items()}
 
 
-def may_match(template: np.ndarray, words: np.ndarray, shift: int) -> bool:
-    """Whether the words within reach of an alignment hold as many words of the template as a hit needs."""
-    near = words[max(0, shift - BAND):max(0, shift + len(template) + BAND)]
+def reach(n: int) -> int:
+    """Diagonals to either side of a candidate's that an alignment may use; less than a template of ``n`` words, so copies in a row stay apart."""
+    return min(BAND, (n - 1) // 2) + min(REACH, (n - 1) // 2)
+
+
+def may_match(template: np.ndarray, words: np.ndarray, shift: int, required: np.ndarray) -> bool:
+    """Whether the words within reach of an alignment hold as many words of the template as a hit needs, and those it must have."""
+    side = reach(len(template))
+    near = words[max(0, shift - side):max(0, shift + len(template) + side)]
     least = COVERAGE * len(template)
-    return np.isin(near, template).sum() >= least and np.isin(template, near).sum() >= least
-
-
-def aligned(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Matched words and the first and last matched place of ``words`` in the best alignment whose
-    diagonal stays within ``BAND`` of ``shift`` (place in words minus place in template)."""
-    width = 2 * BAND + 1
-    best = np.zeros((len(template) + 1, width + 2), np.int32)
-    first = np.full((len(template) + 1, width + 2), -1, np.int64)
-    last = np.full((len(template) + 1, width + 2), -1, np.int64)
-    for i, word in enumerate(template):
-        for d in range(1, width + 1):
-            j = i + shift + d - 1 - BAND
-            # Leaving out a template word moves one diagonal up, leaving out a word of the text one down.
-            options = [(best[i, d + 1], first[i, d + 1], last[i, d + 1]), (best[i + 1, d - 1], first[i + 1, d - 1], last[i + 1, d - 1])]
-            if 0 <= j < len(words) and words[j] == word:
-                options.append((best[i, d] + 1, first[i, d] if first[i, d] >= 0 else j, j))
-            else:
-                options.append((best[i, d], first[i, d], last[i, d]))
-            best[i + 1, d], first[i + 1, d], last[i + 1, d] = max(options, key=lambda o: (o[0], -o[2]))
-    d = int(np.argmax(best[-1]))
-    return int(best[-1, d]), int(first[-1, d]), int(last[-1, d])
-
-
-def _candidates(hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """(template, diagonal) from (template, place in text, place in template); diagonals within a band are one."""
-    by_template = defaultdict(list)
-    for t, i, k in hits:
-        by_template[t].append(i - k)
-    for t, diagonals in by_template.items():
-        diagonals.sort()
-        group = [diagonals[0]]
-        for d in diagonals[1:]:
-            if d - group[0] > BAND:
-                yield t, group[len(group) // 2]
-                group = []
-            group.append(d)
-        yield t, group[len(group) // 2]
-
-
-def found_in(column: pa.Array, names: list[str], bodies: list[np.ndarray], places: dict, keys: dict[int, np.ndarray]) -> Iterator[tuple]:
+    return np.isin(near, template).sum() >= least and np.isin(template, near).sum() >= least and bool(np.isin(required, near).all())
+
+
+def aligned(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[list[int], list[int]]:
+    """Places in the template and in ``words`` that the best alignment matches, its diagonals (place in words minus place in template) within
+    reach of ``shift``. A match weighs ``WEIGHT``, a word of the text left out between matches costs 1; one numpy step a template word."""
+    m, side = len(template), reach(len(template))
+    width, base = 2 * side + 1, shift - side
+    at = np.arange(base, base + m + width - 1)
+    inside = (at >= 0) & (at < len(words))
+    near = np.where(inside, words[np.clip(at, 0, len(words) - 1)], 0)
+    equal = np.lib.stride_tricks.sliding_window_view(near, width) == template[:, None]
+    equal &= np.lib.stride_tricks.sliding_window_view(inside, width)
+    steps = np.arange(width, dtype=np.int32)
+    gains = equal * np.int32(WEIGHT) + steps
+    best = np.zeros((m + 1, width), np.int32)
+    for i in range(m):
+        row = best[i] + gains[i]
+        # Leaving out a template word moves one diagonal up, leaving out a word of the text one down.
+        np.maximum(row[:-1], best[i, 1:] + steps[:-1], out=row[:-1])
+        np.subtract(np.maximum.accumulate(row, out=row), steps, out=best[i + 1])
+    i, d = m, int(np.argmax(best[m]))
+    mine, theirs = [], []
+    while i:
+        here = best[i, d]
+        if equal[i - 1, d] and here == best[i - 1, d] + WEIGHT:
+            i -= 1
+            mine.append(i)
+            theirs.append(base + i + d)
+        elif here == best[i - 1, d]:
+            i -= 1
+        elif d + 1 < width and here == best[i - 1, d + 1]:
+            i, d = i - 1, d + 1
+        else:
+            d -= 1
+    return mine[::-1], theirs[::-1]
+
+
+def _spans(template: np.ndarray, words: np.ndarray, hits: list[tuple[int, int]], required: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Matched words, first and last place of each hit of a template; ``hits`` are (place in text, place in template) of shared grams."""
+    left = defaultdict(list)
+    for i, k in hits:
+        left[i - k].append(i)
+    # Diagonals with most hits first; those a found span takes in are done.
+    done = np.zeros(len(words), bool)
+    for shift in sorted(left, key=lambda d: (-len(left[d]), d)):
+        if done[left[shift]].all() or not may_match(template, words, shift, required):
+            continue
+        mine, theirs = aligned(template, words, shift)
+        if len(mine) >= COVERAGE * len(template) and np.isin(required, template[mine]).all():
+            done[theirs[0]:theirs[-1] + 1] = True
+            yield len(mine), theirs[0], theirs[-1]
+
+
+def found_in(column: pa.Array, names: list[str], bodies: list[np.ndarray], places: dict, keys: dict[int, np.ndarray],
+             required: list[np.ndarray]) -> Iterator[tuple]:
     """(row, license, coverage, matched, start, end) of a batch; start and end are code points."""
     w = words_of(column, bare=True)
-    hits = defaultdict(list)
+    hits = defaultdict(lambda: defaultdict(list))
     for size, known in keys.items():
         grams = _grams(w.hashes, size)
         if not len(grams):
@@ -179,24 +243,22 @@ def found_in(column: pa.Array, names: list[str], bodies: list[np.ndarray], place
         at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         for i in np.flatnonzero((known[at] == grams) & whole).tolist():
             r = int(w.rows[i])
-            hits[r] += [(t, i - int(w.first[r]), k) for t, k in places[size][int(grams[i])]]
+            for t, k in places[size][int(grams[i])]:
+                hits[r][t].append((i - int(w.first[r]), k))
     kin = [FAMILY.get(name, name) for name in names]
     for r, own in hits.items():
         a, b = int(w.first[r]), int(w.first[r + 1])
-        spans = set()
-        for t, shift in _candidates(own):
-            if not may_match(bodies[t], w.hashes[a:b], shift):
-                continue
-            matched, first, last = aligned(bodies[t], w.hashes[a:b], shift)
-            if matched >= COVERAGE * len(bodies[t]):
-                spans.add((t, matched, first, last))
-        for t, matched, first, last in sorted(spans):
+        spans = sorted({(first, last, matched, t) for t, places_of in own.items() for matched, first, last in _spans(bodies[t], w.hashes[a:b], places_of, required[t])})
+        if not spans:
+            continue
+        longest = max(last - first for first, last, _, _ in spans)
+        points = np.concatenate([[0], np.cumsum((w.raw[w.offsets[r]:w.ends[b - 1]] & 0xC0) != 0x80)])
+        for first, last, matched, t in spans:
             # Of several alignments that overlap, the longest of a template and its family counts, of equals that of the shortest template.
-            if any(kin[o[0]] == kin[t] and o[2] <= last and first <= o[3] and (o[1], -len(bodies[o[0]]), -o[2]) > (matched, -len(bodies[t]), -first) for o in spans):
+            near = spans[bisect_left(spans, (first - longest,)):bisect_left(spans, (last + 1,))]
+            if any(kin[o[3]] == kin[t] and o[1] >= first and (o[2], -len(bodies[o[3]]), -o[0]) > (matched, -len(bodies[t]), -first) for o in near):
                 continue
-            head = w.raw[w.offsets[r]:w.ends[a + last]]
-            start, end = int(w.starts[a + first] - w.offsets[r]), len(head)
-            points = np.concatenate([[0], np.cumsum((head & 0xC0) != 0x80)])
+            start, end = int(w.starts[a + first] - w.offsets[r]), int(w.ends[a + last] - w.offsets[r])
             yield r, names[t], matched / len(bodies[t]), matched, int(points[start]), int(points[end])
 
 
@@ -211,8 +273,9 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, id_col: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies, places = index(templates)
         names, keys = list(templates), {size: np.array(sorted(p), np.uint64) for size, p in places.items()}
+        required = [words_of(pa.array([" ".join(REQUIRED.get(name, []))]), bare=True).hashes for name in names]
         for batch in slices(batches, "text"):
-            rows = list(found_in(batch.column("text"), names, bodies, places, keys)) if len(keys) else []
+            rows = list(found_in(batch.column("text"), names, bodies, places, keys, required)) if len(keys) else []
             if rows:
                 r, name, coverage, matched, start, end = zip(*rows)
                 yield pa.record_batch([batch.column("id").take(pa.array(r)), pa.array(name), pa.array(coverage, pa.float64()),
