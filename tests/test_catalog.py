@@ -34,6 +34,11 @@ def test_contract():
     assert {"A1", "J13", "T14", "V19", "G10", "D5", "E4", "S12", "R3"} <= covered
 
 
+def test_bucketed_tables_join_without_exchange(spark):
+    plan = ENTRIES["bucketed_hits"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 @pytest.mark.parametrize("name, most", [("linked_by_overlap", 4), ("linked_two_stage", 5), ("track_lifecycles", 4)])
 def test_last_plan_reads_little(spark, name, most):
     plan = ENTRIES[name].run(spark, SF)._jdf.queryExecution().sparkPlan().toString()

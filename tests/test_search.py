@@ -34,6 +34,35 @@ def test_filter_terms_and_synonyms(spark):
     assert syn == sorted(["vehicle", "automobile", "motorcar", "sedan", "suv"])
 
 
+def test_entities_and_plain_intent(spark):
+    texts = ["Find 3 people and 12 cars with a T-shirt, hard hat, neon green vest and e-scooter running near the loading dock",
+             "2 trucks not red cars in zone b without hats", "police car loitering without any driver at the server room a", None, "  ",
+             "how many dogs except cats", "fighting near cam 7", "count 99999999999999999999 cars"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, q string").select("i", Q.entities(F.col("q")).alias("e"), Q.plain_intent(F.col("q")).alias("p"),
+                                                                                Q.entity_summary(Q.entities(F.col("q"))).alias("s")).orderBy("i").collect()
+    e, p = rows[0].e, rows[0].p
+    assert (e.colors, e.clothing, e.vehicle_types, e.behaviors) == (["green", "neon", "neon green"], ["hard hat", "hat", "t-shirt", "vest"], ["e-scooter"], ["running"])
+    assert (e.object_classes, e.quantities, p.object_class, p.color, p.spatial_zone) == (["people"], [3, 12], "person", "green", "loading dock")
+    assert p.attributes == ["hard hat", "hat", "t-shirt", "vest", "running", "e-scooter"] and p.intent_type == "object_search" and p.event_type is None
+    assert (rows[1].p.negations, rows[1].p.spatial_zone, rows[1].p.color, rows[1].e.quantities) == (["red cars", "hats"], "zone b w", "red", [2])
+    assert (rows[2].p.object_class, rows[2].p.event_type, rows[2].p.negations, rows[2].p.spatial_zone) == ("car", "loitering", ["any driver"], "server room a")
+    for r in rows[3:5]:
+        assert r.s == "No specific entities detected." and r.p.object_class is None and r.p.negations == [] and r.p.spatial_zone is None
+    assert (rows[5].p.intent_type, rows[5].p.negations) == ("statistical_query", ["cats"]) and rows[6].p.camera_ids == ["cam-007"]
+    assert rows[1].s == "Colors: red; Quantities: 2" and rows[7].e.quantities == [None]
+
+
+def test_metric_report(spark):
+    kind = "query_id long, category string, precision double, recall double, f1 double, latency_ms double, error string"
+    rows = [(1, "a", 1.0, 1.0, 1.0, 10.0, None), (2, "a", 0.5, 1.0, 0.6667, 30.0, None), (3, "b", 0.0, 0.0, 0.0, 99.0, "broken")]
+    got = {(r.kind, r.query_id, r.category): r for r in E.metric_report(spark.createDataFrame(rows, kind)).collect()}
+    whole = got["overall", None, None]
+    assert len(got) == 6 and (whole.queries, whole.errors, whole.avg_precision, whole.avg_latency_ms, whole.verdict) == (3, 1, 0.75, 20.0, "FAIL")
+    assert got["category", None, "a"].avg_f1 == 0.8334 and got["category", None, "b"].avg_precision is None and got["query", 3, "b"].verdict is None
+    assert E.metric_report(spark.createDataFrame(rows, kind), 0.75).where("kind = 'overall'").first().verdict == "PASS"
+    assert E.metric_report(spark.createDataFrame([], kind)).collect() == []
+
+
 def test_time_ranges(spark):
     at = dt.datetime(2024, 1, 10, 15, 30)
     ms = lambda *a: int(dt.datetime(*a, tzinfo=dt.timezone.utc).timestamp() * 1000)

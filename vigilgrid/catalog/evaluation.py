@@ -5,6 +5,8 @@ from pyspark.sql import Window, functions as F
 from vigilgrid.catalog.registry import query
 from vigilgrid.functions import query_text as Q
 from vigilgrid.plans import evaluation as E
+from vigilgrid.session import scratch_path
+from vigilgrid.sources.tables import write_lines
 
 RET = """ret AS (SELECT source AS query_id, lang AS category, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),
  qs AS (SELECT DISTINCT source || '/' || lang AS query_id, lang AS category FROM documents),
@@ -58,6 +60,21 @@ def predicate_summary(t):
     return E.predicate_summary(_predicate(t))
 
 
+REPORT_ROWS = """m AS (SELECT pm.*, CASE WHEN s_acctbal < 0 THEN 'timed out' END AS error, abs(s_acctbal) AS latency_ms FROM pm JOIN supplier ON s_suppkey = query_id)"""
+
+
+@query("S13 E2 E3", "detections", """SELECT CASE grouping(query_id, category) WHEN 0 THEN 'query' WHEN 2 THEN 'category' ELSE 'overall' END AS kind, query_id, category, count(*) AS queries, count(error) AS errors,
+ round(avg(precision) FILTER (error IS NULL), 4) AS avg_precision, round(avg(recall) FILTER (error IS NULL), 4) AS avg_recall, round(avg(f1) FILTER (error IS NULL), 4) AS avg_f1,
+ round(avg(latency_ms) FILTER (error IS NULL), 2) AS avg_latency_ms,
+ CASE WHEN grouping(query_id, category) = 3 THEN CASE WHEN coalesce(round(avg(precision) FILTER (error IS NULL), 4), 0) >= 0.05 THEN 'PASS' ELSE 'FAIL' END END AS verdict
+ FROM m GROUP BY GROUPING SETS ((query_id, category), (category), ())""", PRED + ", " + REPORT_ROWS)
+def metric_report_lines(t):
+    run = t.raw("supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_acctbal") < 0, "timed out").alias("error"), F.abs("s_acctbal").alias("latency_ms"))
+    path = scratch_path(t.spark, "report")
+    write_lines(E.metric_report(_predicate(t).join(run, "query_id"), 0.05), path, "overwrite")
+    return t.spark.read.schema(E.REPORT).json(path)
+
+
 @query("E5 V15", "searches", """SELECT count(*) AS labelled, round(avg(CASE WHEN want = 'object_search' OR want = got THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS intent_type FROM (SELECT CASE query_id % 9 WHEN 4 THEN 'statistical_query' WHEN 8 THEN 'comparison'
  WHEN 7 THEN 'event_search' ELSE 'object_search' END AS want, CASE query_id % 9 WHEN 4 THEN 'statistical_query' WHEN 8 THEN 'comparison' WHEN 7 THEN 'event_search' ELSE 'object_search' END AS got FROM searches)""")
 def label_accuracy(t):

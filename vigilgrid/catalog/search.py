@@ -78,6 +78,38 @@ def question_types(t):
     return t.searches.select("query_id", Q.question_type(q).alias("intent_type"), F.array_join(Q.camera_mentions(q), ",").alias("cameras"))
 
 
+def _found(terms, phrases=()):
+    listed = f"list_filter(w, lambda x: list_contains({list(terms)}, x))"
+    more = f"list_filter({list(phrases)}, lambda p: contains(q, p))" if phrases else "[]"
+    return f"list_sort(list_distinct(list_concat({listed}, {more})))"
+
+
+ENT = f"""ent AS (SELECT query_id, q, {_found(Q.ENTITY_COLOURS, Q.COLOUR_PHRASES)} AS colors, {_found(Q.CLOTHING, Q.CLOTHING_PHRASES)} AS clothing,
+ {_found(Q.VEHICLE_KINDS, Q.VEHICLE_PHRASES)} AS vehicles, {_found(Q.BEHAVIOURS)} AS behaviors, {_found(Q.ENTITY_CLASSES)} AS classes, regexp_extract_all(q, '{Q.QUANTITY}', 1) AS quantities
+ FROM (SELECT query_id, lower(query_text) AS q, regexp_extract_all(lower(query_text), '{Q.ENTITY_WORD}') AS w FROM searches))"""
+
+
+@query("V15", "searches", """SELECT query_id, array_to_string(colors, '|') AS colors, array_to_string(clothing, '|') AS clothing, array_to_string(vehicles, '|') AS vehicle_types,
+ array_to_string(behaviors, '|') AS behaviors, array_to_string(classes, '|') AS object_classes, array_to_string(quantities, '|') AS quantities,
+ coalesce(nullif(concat_ws('; ', 'Objects: ' || nullif(array_to_string(classes, ', '), ''), 'Colors: ' || nullif(array_to_string(colors, ', '), ''), 'Clothing: ' || nullif(array_to_string(clothing, ', '), ''),
+  'Vehicle types: ' || nullif(array_to_string(vehicles, ', '), ''), 'Behaviors: ' || nullif(array_to_string(behaviors, ', '), ''), 'Quantities: ' || nullif(array_to_string(quantities, ', '), '')), ''),
+  'No specific entities detected.') AS summary FROM ent""", ENT)
+def query_entities(t):
+    e = t.searches.select("query_id", Q.entities(F.col("query_text")).alias("e"))
+    lists = ["colors", "clothing", "vehicle_types", "behaviors", "object_classes", "quantities"]
+    return e.select("query_id", *[F.array_join(F.col(f"e.{c}").cast("array<string>"), "|").alias(c) for c in lists], Q.entity_summary(F.col("e")).alias("summary"))
+
+
+@query("V15", "searches", f"""SELECT query_id, CASE classes[1] {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.CLASS_OF_ENTITY.items())} ELSE coalesce(classes[1], CASE WHEN len(vehicles) > 0 THEN 'car' END) END AS object_class,
+ colors[1] AS color, array_to_string(list_concat(list_concat(clothing, behaviors), vehicles), '|') AS attributes,
+ array_to_string(list_filter(list_transform(regexp_extract_all(trim(q), '{Q.NEGATION}', 1), lambda n: trim(n)), lambda n: n <> ''), '|') AS negations, nullif(trim(regexp_extract(q, '{Q.PLACE}', 1)), '') AS spatial_zone,
+ CASE WHEN NOT ({_any(Q.COUNT_WORDS + Q.COMPARE_WORDS)}) THEN CASE {' '.join(f"WHEN contains(q, '{w}') THEN '{w}'" for w in Q.EVENT_WORDS)} END END AS event_type FROM ent""", ENT)
+def query_plain_intents(t):
+    i = t.searches.select("query_id", Q.plain_intent(F.col("query_text")).alias("i")).select("query_id", "i.*")
+    return i.select("query_id", "object_class", "color", F.array_join("attributes", "|").alias("attributes"), F.array_join("negations", "|").alias("negations"),
+                    "spatial_zone", "event_type")
+
+
 LASTRE = "'\\blast\\s+(\\d+)\\s*(hours?|h|minutes?|mins?|m|seconds?|secs?|s|days?|d)\\b'"
 BETW = "'\\bbetween\\s+(\\d{1,2})(?::(\\d{2}))?\\s*(am|pm)\\s+and\\s+(\\d{1,2})(?::(\\d{2}))?\\s*(am|pm)\\b'"
 

@@ -88,8 +88,9 @@ def crop_manifest(t):
     return S.crop_manifest(b, "camera_id", "track_id", "frame_id", "class_label", "score").select("det_id", "crop_path")
 
 
-@query("S13 E2", "", "SELECT lang AS category, count(*) AS queries FROM documents GROUP BY 1")
-def metric_report_lines(t):
-    path = scratch_path(t.spark, "report")
-    S.write_lines(t.raw("documents").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("queries")), path, "overwrite")
-    return t.spark.read.schema("category string, queries bigint").json(path)
+@query("S1 S3 J1", "detections segments", "SELECT det_id, camera_id, confidence FROM detections JOIN segments USING (segment_id)")
+def bucketed_hits(t):
+    return S.joined_buckets(
+        S.write_buckets(t.detections.select("det_id", "segment_id", "confidence"), scratch_path(t.spark, "hits"), "segment_id", 16),
+        S.write_buckets(t.segments.select("segment_id", "camera_id"), scratch_path(t.spark, "held"), "segment_id", 16), "segment_id").select(
+        "det_id", "camera_id", "confidence")

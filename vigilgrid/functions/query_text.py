@@ -61,6 +61,34 @@ EVENT_WORDS = ["loitering", "fighting", "intrusion", "falling", "abandoned", "ta
 HOURS_OF_PERIOD = {"morning": (6, 12), "afternoon": (12, 17), "evening": (17, 21), "night": (21, 6)}
 SECONDS_OF_UNIT = {"h": 3600, "m": 60, "s": 1, "d": 86400}
 
+# The terms, phrases and patterns by which a text is read when no model answers.
+ENTITY_COLOURS = ["red", "blue", "green", "yellow", "orange", "purple", "pink", "black", "white", "gray", "grey", "brown", "silver", "gold",
+                  "beige", "navy", "maroon", "teal", "cyan", "magenta", "olive", "burgundy", "tan", "khaki", "dark", "light", "bright", "neon"]
+COLOUR_PHRASES = ["dark blue", "light blue", "dark green", "light green", "dark red", "bright red", "neon green", "navy blue"]
+CLOTHING = ["jacket", "coat", "hoodie", "sweater", "shirt", "t-shirt", "tshirt", "vest", "uniform", "dress", "skirt", "pants", "jeans", "shorts",
+            "hat", "cap", "helmet", "mask", "scarf", "gloves", "glasses", "sunglasses", "backpack", "bag", "handbag", "briefcase", "purse",
+            "suitcase", "luggage", "boots", "shoes", "sneakers", "sandals", "high-vis", "reflective", "apron", "hard hat", "headband"]
+CLOTHING_PHRASES = ["hard hat", "high-vis", "t-shirt"]
+VEHICLE_KINDS = ["sedan", "suv", "truck", "van", "bus", "motorcycle", "bike", "bicycle", "minivan", "pickup", "hatchback", "coupe", "convertible",
+                 "wagon", "jeep", "taxi", "ambulance", "police car", "fire truck", "scooter", "moped", "skateboard", "e-scooter", "forklift",
+                 "tractor", "trailer", "semi", "lorry", "rig", "rv", "camper"]
+VEHICLE_PHRASES = ["police car", "fire truck", "e-scooter"]
+BEHAVIOURS = ["running", "walking", "standing", "sitting", "loitering", "fighting", "falling", "crawling", "jumping", "climbing", "entering",
+              "exiting", "crossing", "waiting", "talking", "smoking", "carrying", "dropping", "throwing", "pushing", "pulling", "dragging",
+              "following", "chasing", "hiding", "crouching", "kneeling", "lying", "sleeping", "waving", "pointing", "gesturing", "arguing",
+              "shoplifting", "trespassing", "vandalizing", "speeding", "parking", "driving", "stopped"]
+ENTITY_CLASSES = ["person", "people", "man", "woman", "child", "kid", "pedestrian", "car", "vehicle", "truck", "bus", "bicycle", "motorcycle",
+                  "dog", "cat", "bird", "animal", "backpack", "suitcase", "luggage", "bag", "package", "box", "phone", "laptop", "umbrella",
+                  "bottle", "gun", "knife", "weapon", "fire", "smoke", "flame"]
+CLASS_OF_ENTITY = {"people": "person", "man": "person", "woman": "person", "child": "person", "kid": "person", "pedestrian": "person",
+                   "vehicle": "car"}
+QUANTITY = r"\b(\d+)\s+(?:people|persons?|cars?|vehicles?|trucks?)\b"
+NEGATION = (r"\b(?:not|without|no|except|excluding)\s+([\w\s]+?)"
+            r"(?:\s+(?:in|on|at|from|near|cam|camera|zone|between|last|today|yesterday)|$)")
+PLACE = (r"\b(?:in|near|at)\s+(?:the\s+)?((?:parking\s+lot|loading\s+dock|lobby|corridor|warehouse|server\s+room|rooftop|emergency\s+exit"
+         r"|zone\s+\w+)(?:\s+\w)?)")
+ENTITY_WORD = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
+
 INJECTION_PHRASES = [
     r"ignore\s+(?:all\s+)?previous\s+instructions", r"ignore\s+above\s+instructions", r"system\s+prompt",
     r"you\s+are\s+now\s+in\s+developer\s+mode", r"bypass\s+restrictions", r"dan\s+mode", r"jailbreak",
@@ -186,6 +214,60 @@ def question_type(query: Column) -> Column:
             .when(_has_any(text, EVENT_WORDS), "event_search").otherwise("object_search"))
 
 
+def _mentioned(text: Column, words: Column, terms: list[str], phrases: list[str] = ()) -> Column:
+    """Terms among the words and phrases anywhere in the text, sorted, each once."""
+    found = _known(words, terms)
+    if phrases:
+        found = F.concat(found, F.filter(_words(phrases), lambda p: F.contains(text, p)))
+    return F.array_sort(F.array_distinct(found))
+
+
+def entities(query: Column) -> Column:
+    """Struct of what a text names: colours, clothing, vehicle kinds, behaviours, object classes and quantities.
+
+    Lists are sorted and hold each term once; quantities stand in the order of the text. A null text names nothing.
+    """
+    text = F.lower(F.coalesce(query, F.lit("")))
+    words = F.regexp_extract_all(text, F.lit(ENTITY_WORD), 0)
+    return F.struct(
+        _mentioned(text, words, ENTITY_COLOURS, COLOUR_PHRASES).alias("colors"),
+        _mentioned(text, words, CLOTHING, CLOTHING_PHRASES).alias("clothing"),
+        _mentioned(text, words, VEHICLE_KINDS, VEHICLE_PHRASES).alias("vehicle_types"),
+        _mentioned(text, words, BEHAVIOURS).alias("behaviors"), _mentioned(text, words, ENTITY_CLASSES).alias("object_classes"),
+        F.transform(F.regexp_extract_all(text, F.lit(QUANTITY), 1), lambda n: n.try_cast("long")).alias("quantities"))
+
+
+def entity_summary(found: Column) -> Column:
+    """One line that names the non-empty lists of ``entities``."""
+    titles = {"object_classes": "Objects", "colors": "Colors", "clothing": "Clothing", "vehicle_types": "Vehicle types",
+              "behaviors": "Behaviors", "quantities": "Quantities"}
+    parts = [F.when(F.size(found[f]) > 0, F.concat(F.lit(f"{title}: "), F.array_join(found[f].cast("array<string>"), ", ")))
+             for f, title in titles.items()]
+    line = F.concat_ws("; ", *parts)
+    return F.when(line == "", F.lit("No specific entities detected.")).otherwise(line)
+
+
+def plain_intent(query: Column) -> Column:
+    """Intent of a text read by terms and patterns alone: class, colour, attributes, negations, zone and event.
+
+    A zone takes in one more letter or digit after its name, as in "server room a" (of a longer word, its first).
+    """
+    text = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+    found = entities(query)
+    first = F.get(found["object_classes"], F.lit(0))
+    kind = question_type(text)
+    event = F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in EVENT_WORDS])
+    zone = F.trim(F.regexp_extract(text, PLACE, 1))
+    negations = F.transform(F.regexp_extract_all(text, F.lit(NEGATION), 1), lambda n: F.trim(n))
+    return F.struct(
+        F.coalesce(F.element_at(_map(CLASS_OF_ENTITY), first), first, F.when(F.size(found["vehicle_types"]) > 0, F.lit("car"))).alias("object_class"),
+        F.get(found["colors"], F.lit(0)).alias("color"),
+        F.concat(found["clothing"], found["behaviors"], found["vehicle_types"]).alias("attributes"),
+        F.filter(negations, lambda n: n != "").alias("negations"), camera_mentions(text).alias("camera_ids"),
+        F.when(zone != "", zone).alias("spatial_zone"), kind.alias("intent_type"),
+        F.when(kind == "event_search", event).alias("event_type"))
+
+
 def camera_mentions(query: Column) -> Column:
     """Cameras named like "cam 7", as cam-007."""
     numbers = F.regexp_extract_all(F.lower(query), F.lit(r"\bcam(?:era)?[-_\s]?(\d+)\b"), 1)

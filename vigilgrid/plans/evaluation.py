@@ -56,6 +56,27 @@ def predicate_summary(metrics: DataFrame) -> DataFrame:
         ok.agg(*means).withColumn("category", F.lit(None).cast("string")))
 
 
+REPORT = ("kind string, query_id bigint, category string, queries bigint, errors bigint, avg_precision double, avg_recall double, avg_f1 double, "
+          "avg_latency_ms double, verdict string")
+
+
+def metric_report(metrics: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """Records of a report by ``kind``: one per query, one per category, one overall with the verdict.
+
+    ``metrics``: query_id, category, precision, recall, f1, latency_ms, error. One pass with grouping sets; queries with an error count as
+    errors and enter no mean. Without a valid query means are null and the overall record fails. No queries give no records.
+    """
+    ok = F.col("error").isNull()
+    means = [F.round(F.avg(F.when(ok, F.col(c))), 4).alias(f"avg_{c}") for c in ("precision", "recall", "f1")]
+    grouped = metrics.groupingSets([["query_id", "category"], ["category"], []], "query_id", "category").agg(
+        F.grouping_id("query_id", "category").alias("level"), F.count(F.lit(1)).alias("queries"), F.count_if(~ok).alias("errors"), *means,
+        F.round(F.avg(F.when(ok, F.col("latency_ms"))), 2).alias("avg_latency_ms"))
+    kind = F.when(F.col("level") == 0, "query").when(F.col("level") == 2, "category").otherwise("overall")
+    passed = verdict(F.coalesce(F.col("avg_precision"), F.lit(0.0)), threshold)
+    return grouped.select(kind.alias("kind"), "query_id", "category", "queries", "errors", "avg_precision", "avg_recall", "avg_f1", "avg_latency_ms",
+                          F.when(kind == "overall", passed).alias("verdict"))
+
+
 def verdict(value: Column, threshold: float = 0.80) -> Column:
     return F.when(value >= threshold, "PASS").otherwise("FAIL")
 

@@ -59,6 +59,21 @@ def write_collection(vectors: DataFrame, path: str, mode: str = "overwrite") ->
     vectors.hint("rebalance", "camera_id").write.mode(mode).partitionBy("camera_id").parquet(path)
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """The rows as a table of ``buckets`` files by a hash of ``key``, read back so that joins and groups on the key need no exchange.
+
+    Choose a key with many values, such as the segment rather than its camera, so that no bucket holds much more than its share.
+    """
+    name = f"buckets_{path.rstrip('/').rsplit('/', 1)[-1].replace('-', '_')}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def joined_buckets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Merge join of two tables bucketed alike by ``key``: every task reads its bucket of both, nothing is shuffled."""
+    return left.join(right.hint("merge"), key)
+
+
 def publish_version(vectors: DataFrame, root: str, name: str, version: int, ttl_seconds: int = 2_592_000) -> str:
     """Write ``name_vN`` and point the view ``name`` at it; readers see the old or the new version."""
     path = f"{root.rstrip('/')}/{name}_v{version}"
