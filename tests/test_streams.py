@@ -43,6 +43,26 @@ def test_silence_is_reported_once_the_watermark_passes(spark, tmp_path):
     assert got == [(0, "online"), (32_001, "offline"), (90_000_000, "online"), (90_030_001, "offline"), (180_000_000, "online")]
 
 
+def test_camera_verdicts_are_raised_cleared_and_timed(spark, tmp_path):
+    """Frames every second, a fall to one frame in two seconds, errors, silence beyond the watermark, and a return that remembers old errors."""
+    steady = [START + 500 * i for i in range(20)]
+    slow = [START + 10_000 + 1_500 * i for i in range(6)]
+    wrong = [START + 20_000 + i for i in range(5)]
+    back = [START + 90_000_000, START + 90_000_100, START + 180_000_000]
+    rows = [(t, False) for t in steady + slow] + [(t, True) for t in wrong] + [(t, False) for t in back]
+    folder = tmp_path / "in"
+    for i, part in enumerate((rows[:12], rows[12:27], rows[27:31], rows[31:33], rows[33:])):
+        df = spark.createDataFrame([("c", *r) for r in part], "camera_id string, ts_ms bigint, is_error boolean").withColumn("ts", F.timestamp_millis("ts_ms"))
+        df.coalesce(1).write.parquet(str(folder / f"part={i}"))
+        for f in (folder / f"part={i}").glob("*.parquet"):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    R.run(T.camera_verdicts(stream, 2.0, ttl_ms=10**9), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = [(r.ts_ms - START, r.status) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts_ms").collect()]
+    # The first window holds two frames only.
+    assert got == [(0, "healthy"), (500, "degraded"), (1_000, "healthy"), (11_500, "degraded"), (47_501, "offline"), (90_000_000, "degraded"), (90_030_101, "offline"), (180_000_000, "degraded")]
+
+
 def test_restart_continues_from_checkpoint(spark, tmp_path):
     times = START + np.array([0, 10_000, 20_000, 40_000, 50_000])
     source = feed(spark, tmp_path, times, 5).withColumn("camera_id", F.lit("c"))

@@ -191,6 +191,35 @@ def live_camera_status(t):
     return _drained(t, T.camera_silence(beats, 64_800_000))
 
 
+def _status_sql(window, target, stale, degraded, critical, error_window):
+    """Status of every moment, the moments at which silence grew too long, and of both those where the status changes."""
+    w, s = "OVER (PARTITION BY cam ORDER BY ts", window / 1000
+    ratio = f"n / {s}::DOUBLE / ({target} / {s}::DOUBLE)"
+    return f"""mo AS (SELECT *, max(ts) OVER (PARTITION BY cam) AS mx FROM (SELECT user_id AS cam, start_ms AS ts, count(*) FILTER (event_type <> 'error') AS f, count(*) FILTER (event_type = 'error') AS e FROM alerts GROUP BY 1, 2)),
+ a AS (SELECT *, sum(e) {w} RANGE BETWEEN {error_window - 1} PRECEDING AND CURRENT ROW) AS errs, max(CASE WHEN f > 0 THEN ts END) {w}) AS lf,
+  CASE WHEN f > 0 THEN sum(f) {w} RANGE BETWEEN {window - 1} PRECEDING AND CURRENT ROW) END AS nf FROM mo), b AS (SELECT *, last_value(nf IGNORE NULLS) {w}) AS n FROM a),
+ st AS (SELECT cam, ts, 1 AS o, CASE WHEN ts - lf > {stale} THEN 'offline' WHEN errs >= {critical} THEN 'critical' WHEN errs >= {degraded} THEN 'degraded' WHEN n > 1 AND {ratio} < 0.3 THEN 'critical'
+  WHEN n > 1 AND {ratio} < 0.7 THEN 'degraded' ELSE 'healthy' END AS status FROM b UNION ALL
+  SELECT cam, ts + {stale + 1}, 0, 'offline' FROM (SELECT cam, ts, mx, lead(ts) {w}) AS nx FROM mo WHERE f > 0)
+  WHERE nx - ts > {stale} OR nx IS NULL AND (mx - ts > {stale} OR ts + {stale + 1} <= (SELECT max(ts) FROM mo) - {2 * HOUR}))"""
+
+
+@query("T10", "alerts", "SELECT cam AS camera_id, ts AS ts_ms, status FROM (SELECT *, lag(status) OVER (PARTITION BY cam ORDER BY ts, o) AS before FROM st) WHERE before IS NULL OR before <> status",
+       _status_sql(24 * HOUR, 7, 36 * HOUR, 2, 4, 72 * HOUR))
+def live_camera_verdicts(t):
+    reports = _events(t).select(F.col("user_id").alias("camera_id"), "ts", "ts_ms", (F.col("event_type") == "error").alias("is_error"))
+    return _drained(t, T.camera_verdicts(reports, 7 / 86_400, 24 * HOUR, 36 * HOUR, (2, 4), error_window_ms=72 * HOUR, ttl_ms=40 * DAY))
+
+
+@query("T9", "points", """SELECT camera_id, track_id, min(ts_ms) AS ts_ms, round(min(ts_ms - f) / 1000.0::DOUBLE, 3) AS dwell_s FROM (SELECT *, min(ts_ms) OVER (PARTITION BY camera_id, track_id) AS f FROM points)
+ WHERE (ts_ms - f) / 1000.0::DOUBLE > CASE class_id WHEN '0' THEN 1700000 WHEN '2' THEN 2000000 ELSE 2480000 END GROUP BY 1, 2""")
+def live_suspicious_dwells(t):
+    c = F.col("class_id")
+    rows = _points(t).withColumn("class_label", F.when(c == 0, "person").when(c == 2, "car").otherwise("backpack"))
+    out = _drained(t, T.dwell_alerts(rows, {"person": 1_700_000.0, "vehicle": 2_000_000.0, "object": 2_480_000.0}, A.VEHICLES, 40 * DAY))
+    return out.select("camera_id", "track_id", "ts_ms", F.round("dwell_s", 3).alias("dwell_s"))
+
+
 @query("T11", "points", """SELECT camera_id, make_timestamp(w * 1000) AS start_time, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS frames FROM (SELECT camera_id, ts_ms, unnest(range((ts_ms // 25200000) * 25200000 - 25200000, ts_ms + 1, 25200000)) AS w FROM points)
  WHERE w <= ts_ms AND ts_ms < w + 28800000 GROUP BY camera_id, w HAVING w + 28800000 <= (SELECT max(ts_ms) FROM points) - 7200000""")
 def live_segments(t):

@@ -25,6 +25,7 @@ def stateful(df: DataFrame, keys: Sequence[str], out: str, step: Callable, ttl_m
 
     ``rows`` is one micro-batch of the key sorted by time. The memory is a JSON object and
     is dropped after ``ttl_ms`` of event time without rows, when ``on_silence`` may emit rows too.
+    A memory with a time under ``wake`` is given to ``on_silence`` once the watermark passes it, and kept for ``ttl_ms`` more.
     """
     keys = list(keys)
     names = [f.name for f in T.StructType.fromDDL(out).fields]
@@ -33,12 +34,17 @@ def stateful(df: DataFrame, keys: Sequence[str], out: str, step: Callable, ttl_m
         memory = json.loads(held.get[0]) if held.exists else {}
         if held.hasTimedOut:
             found = on_silence(key, memory) if on_silence else []
-            held.remove()
+            if memory.pop("wake", None) is None:
+                held.remove()
+            else:
+                held.update((json.dumps(memory),))
+                held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + ttl_ms)
         else:
             rows = pd.concat(list(batches), ignore_index=True).sort_values("ts_ms", kind="stable")
             found = step(key, rows, memory)
             held.update((json.dumps(memory),))
-            held.setTimeoutTimestamp(max(int(rows["ts_ms"].max()), held.getCurrentWatermarkMs()) + ttl_ms)
+            now = held.getCurrentWatermarkMs()
+            held.setTimeoutTimestamp(max(memory["wake"], now + 1) if "wake" in memory else max(int(rows["ts_ms"].max()), now) + ttl_ms)
         if found:
             yield pd.DataFrame([(*key, *row) for row in found], columns=keys + names)
 
@@ -148,6 +154,74 @@ def camera_silence(heartbeats: DataFrame, stale_ms: int = 30_000, lateness: str
                     on_silence=lambda key, memory: [(memory["last"] + stale_ms + 1, "offline")], lateness=lateness)
 
 
+def camera_verdicts(reports: DataFrame, target_fps: float, window_ms: int = 2_000, stale_ms: int = 30_000, errors: tuple[int, int] = (5, 20),
+                    ratios: tuple[float, float] = (0.7, 0.3), error_window_ms: int | None = None, ttl_ms: int = 86_400_000,
+                    lateness: str = LATENESS) -> DataFrame:
+    """A row whenever a camera's status changes: healthy, degraded, critical or offline.
+
+    ``reports``: camera_id, ts, ts_ms, is_error; a report is a frame or an error, and those of one moment count together. Errors are counted over
+    ``error_window_ms`` (all so far if None) and come before the frame rate of the last frame's window; a rate from a single frame does not count.
+    A timer of event time reports a camera offline once it gave no frame for ``stale_ms``. The memory holds two rings, no longer than their limits.
+    """
+    degraded, critical = errors
+    enough = max(2, int(np.ceil(ratios[0] * target_fps * window_ms / 1000.0)) + 1)
+
+    def noted(memory, ts, status):
+        if memory.get("status") == status:
+            return []
+        memory["status"] = status
+        return [(ts, status)]
+
+    def step(key, rows, memory):
+        frames, failed, found = memory.setdefault("frames", []), memory.setdefault("errors", []), []
+        moments = rows.groupby("ts_ms")["is_error"].agg(["size", "sum"])
+        for ts, n, wrong in zip(moments.index.tolist(), moments["size"].tolist(), moments["sum"].tolist()):
+            last, wrong = memory.get("last"), int(wrong)
+            if last is not None and ts - last > stale_ms:
+                found += noted(memory, last + stale_ms + 1, "offline")
+            failed[:] = [t for t in failed + [ts] * min(wrong, critical) if error_window_ms is None or t > ts - error_window_ms][-critical:]
+            if n > wrong:
+                memory["last"] = last = ts
+                frames[:] = [t for t in frames + [ts] * min(n - wrong, enough) if t > ts - window_ms][-enough:]
+                memory["fps"] = len(frames) / (window_ms / 1000.0) if len(frames) > 1 else 0.0
+            ratio = memory.get("fps", 0.0) / target_fps
+            if last is not None and ts - last > stale_ms:
+                status = "offline"
+            elif len(failed) >= critical or len(failed) < degraded and 0 < ratio < ratios[1]:
+                status = "critical"
+            elif len(failed) >= degraded or 0 < ratio < ratios[0]:
+                status = "degraded"
+            else:
+                status = "healthy"
+            found += noted(memory, ts, status)
+        memory.pop("wake", None)
+        if "last" in memory and memory["status"] != "offline":
+            memory["wake"] = memory["last"] + stale_ms + 1
+        return found
+
+    def silent(key, memory):
+        return noted(memory, memory["wake"], "offline") if "wake" in memory else []
+
+    return stateful(reports, ["camera_id"], "ts_ms bigint, status string", step, ttl_ms, on_silence=silent, lateness=lateness)
+
+
+def dwell_alerts(tracks: DataFrame, limits: dict[str, float], vehicles: Sequence[str], ttl_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
+    """A track's first moment beyond the limit of its category in seconds. ``tracks``: camera_id, track_id, class_label, ts, ts_ms."""
+
+    def step(key, rows, memory):
+        if memory.get("told"):
+            return []
+        for ts, label in zip(rows["ts_ms"], rows["class_label"]):
+            dwell = (int(ts) - memory.setdefault("first", int(ts))) / 1000.0
+            limit = limits["person" if label == "person" else "vehicle" if label in vehicles else "object"]
+            if dwell > limit:
+                memory["told"] = True
+                return [(int(ts), dwell, limit)]
+        return []
+
+    return stateful(tracks, ["camera_id", "track_id"], "ts_ms bigint, dwell_s double, limit_s double", step, ttl_ms, lateness=lateness)
+
+
 def distinct_frames(frames: DataFrame, distance: int = 4, window: int = 300, ttl_ms: int = 86_400_000, lateness: str = LATENESS) -> DataFrame:
     """Frames not within ``distance`` bits of the camera's last ``window`` kept ones. Rows need ``sketch``."""
 
